@@ -11,6 +11,7 @@ import base64
 import hashlib
 import heapq
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from terraql.llm.split import Splitter
 from terraql.llm.token_counts import NO_PAIR, PairTable
 
-#: Distinct pre-tokens a worker remembers; pre-tokens of a batch that are held before a merge replay; ids decoded at a time.
-REMEMBERED, HELD, AT_ONCE = 600_000, 3_000_000, 1 << 19
+#: Distinct pre-tokens a worker remembers; new ones of a merge replay; pre-tokens held before one; ids written or read at a time.
+REMEMBERED, NEW, HELD, AT_ONCE = 400_000, 150_000, 4_000_000, 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -29,6 +30,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, file))}
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of an array behind each other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Codec:
     """Encodes text to ids by ranks, each match of the pattern separately, and decodes ids to bytes."""
 
@@ -50,7 +57,12 @@ class Codec:
                     right.append(b)
                     made.append(rank)
         self.table = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(made, np.int32), np.array(made, np.int32))
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.new: list[str] = []
+        self.ids, self.lengths, self.places = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def one(self, word: bytes) -> list[int]:
         """Lowest rank first, from the left: what the replay has to give, for one pre-token."""
@@ -62,8 +74,8 @@ class Codec:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def replay(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers."""
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words behind each other, and how many each word has."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         size = len(raw)
@@ -123,43 +135,59 @@ class Codec:
             odd[word[new[ranks < rank]]] = True
             enter(new, ranks)
         ids, owner = sym[:-1][alive[:-1]], word[:-1][alive[:-1]]
-        ends = np.cumsum(np.bincount(owner, minlength=len(words))) * 4
-        flat = ids.astype("<u4").tobytes()
-        out = [flat[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(words) else []
-        for k in np.flatnonzero(odd).tolist():
-            out[k] = np.array(self.one(words[k]), "<u4").tobytes()
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        self.known.update(zip(new, self.replay([w.encode() for w in new]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        count = np.bincount(owner, minlength=len(words))
+        if odd.any():
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for k in np.flatnonzero(odd).tolist():
+                parts[k] = np.array(self.one(words[k]), np.int32)
+                count[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, count
+
+    def places_of(self, words: list[str]) -> np.ndarray:
+        """Numbers of pre-tokens; those of new ones are given out."""
+        try:
+            return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        except KeyError:
+            for w in set(words):
+                if w not in self.known:
+                    self.known[w] = len(self.known)
+                    self.new.append(w)
+            return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+
+    def learn(self) -> None:
+        """Replays the merges on the new pre-tokens."""
+        if self.new:
+            ids, count = self.replay([w.encode() for w in self.new])
+            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, count])
+            self.places = np.cumsum(self.lengths) - self.lengths
+            self.new = []
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        waiting: list[tuple[int, list[str]]] = []
-        words: set[str] = set()
+        out: list[list[bytes]] = []
+        waiting: list[tuple[int, np.ndarray]] = []
         held = 0
 
         def settle() -> None:
             nonlocal held
-            self.learn(words)
-            look = self.known.__getitem__
-            for i, part in waiting:
-                out[i].append(b"".join(map(look, part)))
+            self.learn()
+            for i, numbers in waiting:
+                for at in range(0, len(numbers), AT_ONCE):
+                    some = numbers[at : at + AT_ONCE]
+                    out[i].append(gathered(self.ids, self.places[some], self.lengths[some]).astype("<u4").tobytes())
             waiting.clear()
-            words.clear()
             held = 0
+            if len(self.known) > REMEMBERED:
+                self.forget()
 
         for i, text in enumerate(texts):
+            out.append([])
             for part in self.words.pieces(text or ""):
-                waiting.append((i, part))
-                words.update(part)
-                held += len(part)
-                if held > HELD or len(words) > REMEMBERED // 2:
+                if part:
+                    waiting.append((i, self.places_of(part)))
+                    held += len(part)
+                if held > HELD or len(self.new) > NEW:
                     settle()
         settle()
         return [b"".join(x) for x in out]
@@ -168,9 +196,7 @@ class Codec:
         every, out = np.frombuffer(ids, "<u4"), []
         for at in range(0, len(every), AT_ONCE):
             part = every[at : at + AT_ONCE]
-            sizes = self.sizes[part]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.repeat(self.starts[part] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+            out.append(gathered(self.flat, self.starts[part], self.sizes[part]).tobytes())
         return b"".join(out)
 
 
@@ -192,7 +218,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", name:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        packed = codec(ranks, pattern).encode(texts.to_pylist())
+        packed = codec(ranks, pattern).encode(x.as_py() for x in texts)
         ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
@@ -221,7 +247,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text", wi
     @F.arrow_udf(f"struct<{fields}>")
     def both(texts: pa.Array) -> pa.Array:
         made = codec(ranks, pattern)
-        packed = made.encode(texts.to_pylist())
+        packed = made.encode(x.as_py() for x in texts)
         columns = [
             pa.array([len(x) // 4 for x in packed], pa.int64()),
             pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),

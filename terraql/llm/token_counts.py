@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from terraql.llm.split import PIECE, Splitter
 
 NO_PAIR = np.int32(2**31 - 1)
-#: Distinct pre-tokens whose counts a worker remembers, and those merged at a time.
-REMEMBERED, AT_ONCE = 600_000, 1 << 16
+#: Distinct pre-tokens that a worker remembers, those merged at a time, and pre-tokens held before new ones are merged.
+REMEMBERED, AT_ONCE, HELD = 500_000, 1 << 16, 4_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -151,7 +151,12 @@ class WordCounter:
         self.words = Splitter(split["pattern"]["Regex"])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.new: list[str] = []
+        self.sizes = np.zeros(0, np.int64)
 
     def normalize(self, text: str) -> str:
         """As the library does, but for white space, which the split drops anyway."""
@@ -165,44 +170,57 @@ class WordCounter:
         """The pre-tokens, some at a time."""
         return self.words.pieces(self.normalize(text))
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), AT_ONCE):
-            part = [w.encode() for w in new[at : at + AT_ONCE]]
+    def places_of(self, words: list[str]) -> np.ndarray:
+        """Numbers of pre-tokens; those of new ones are given out."""
+        try:
+            return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        except KeyError:
+            for w in set(words):
+                if w not in self.known:
+                    self.known[w] = len(self.known)
+                    self.new.append(w)
+            return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+
+    def learn(self) -> None:
+        """Counts the tokens of the new pre-tokens."""
+        counted = [self.sizes]
+        for at in range(0, len(self.new), AT_ONCE):
+            part = [w.encode() for w in self.new[at : at + AT_ONCE]]
             lengths = np.fromiter(map(len, part), np.int64, len(part))
             raw = np.frombuffer(b"".join(part), np.uint8)
             symbols = self.inner[raw]
             ends = np.cumsum(lengths) - 1
             symbols[ends] = self.last[raw[ends]]
-            self.known.update(zip(new[at : at + AT_ONCE], merge_counts(symbols, lengths, self.table).tolist(), strict=True))
+            counted.append(merge_counts(symbols, lengths, self.table))
+        self.sizes, self.new = np.concatenate(counted), []
 
-    def count(self, texts: list[str | None]) -> list[int]:
-        totals, waiting, words, held = [0] * len(texts), [], set(), 0
+    def count(self, texts: Iterable[str | None]) -> list[int]:
+        totals: list[int] = []
+        waiting: list[tuple[int, np.ndarray]] = []
+        held = 0
 
         def settle() -> None:
             nonlocal held
-            self.learn(words)
-            look = self.known.__getitem__
-            for i, part in waiting:
-                totals[i] += sum(map(look, part))
+            self.learn()
+            for i, numbers in waiting:
+                totals[i] += int(self.sizes[numbers].sum())
             waiting.clear()
-            words.clear()
             held = 0
+            if len(self.known) > REMEMBERED:
+                self.forget()
 
         for i, text in enumerate(texts):
+            totals.append(0)
             if not text:
                 continue
             parts = self.special.split(text) if self.special else [text]
             totals[i] += len(parts) - 1  # a special string is one token, and cuts the text before anything else
             for part in parts:
-                for got in self.pieces(part) if part else ():
-                    waiting.append((i, got))
-                    words.update(got)
-                    held += len(got)
-                    if held > PIECE:
+                for words in self.pieces(part) if part else ():
+                    if words:
+                        waiting.append((i, self.places_of(words)))
+                        held += len(words)
+                    if held > HELD or len(self.new) > 4 * AT_ONCE:
                         settle()
         settle()
         return totals
@@ -221,7 +239,7 @@ def counter(path: str) -> WordCounter:
 def count_udf(path: str) -> Callable:
     @F.arrow_udf("long")
     def count(text: pa.Array) -> pa.Array:
-        return pa.array(counter(path).count(text.to_pylist()), pa.int64())
+        return pa.array(counter(path).count(x.as_py() for x in text), pa.int64())
 
     return count
 
