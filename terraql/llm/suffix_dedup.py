@@ -210,7 +210,8 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, gathered: int =
         long = texts.where(F.octet_length("text") >= span)
         cells_ = tables.table(long.mapInArrow(lambda b: anchor_rows(b, span, gram), "anchor long, cell long, digest binary, first long, count int"))
         groups = cells_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("cell") != F.max("cell")).alias("mixed")).where("n > 1")
-        shared = tables.table(cells_.join(groups.drop("n"), "anchor"))
+        groups = tables.table(groups.drop("n"))  # as a table, so that the join can split the rows of a hot anchor
+        shared = tables.table(cells_.join(groups, "anchor"))
         stretch = [F.col("first"), (F.col("first") + F.col("count") + F.lit(span - 1)).alias("last")]
         whole = shared.where(~F.col("mixed")).select("digest", *stretch)
         mixed = shared.where("mixed")
