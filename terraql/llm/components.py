@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while seen[0]:
         both = state.union(state.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))  # as a table, so that a hub's edges can be split
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")

@@ -192,6 +192,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, doc_id: st
     least = root.groupBy("root").agg(F.min("least").alias("component"))
     mapped = root.join(least, "root").select("fp", "component")
     every = distinct.join(mapped, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("component", "least").alias("component_id"))
+    every = cut(every)  # as a table, so that the join can split the rows of a hot fingerprint
     joined = own.join(every, own["fp"] == every["key"], "left")
     return joined.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
