@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spellings held equal, after those of the usual licence-matching guidelines.
-SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "acknowledgement": "acknowledgment", "copyright owner": "copyright holder", "sub license": "sublicense", "non commercial": "noncommercial", "per cent": "percent", "wilful": "willful", "fulfil": "fulfill", "whilst": "while", "favour": "favor", "merchantability": "merchantability", "https": "http"}
+SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "acknowledgement": "acknowledgment", "copyright owner": "copyright holder", "sub license": "sublicense", "non commercial": "noncommercial", "per cent": "percent", "wilful": "willful", "fulfil": "fulfill", "whilst": "while", "favour": "favor", "https": "http"}
 
 #: Notices and short licences by their SPDX identifiers.
 KNOWN: tuple[tuple[str, str], ...] = (
@@ -31,7 +31,7 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
 )
 
-COPYRIGHT = r"(?im)^[\s/*#;.-]*(?:copyright\b(?=.*(?:\(c\)|©|[0-9]{4}))|\(c\)\s*[0-9]{4}|©).*$"
+COPYRIGHT = r"(?im)^[\s/*#;.-]*(?:copyright\b.*(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©).*$"
 
 
 def canonical(text: Column) -> Column:
@@ -40,8 +40,7 @@ def canonical(text: Column) -> Column:
     flat = F.trim(F.regexp_replace(F.lower(flat), r"[^\p{L}\p{N}]+", " "))
     flat = F.concat(F.lit(" "), flat, F.lit(" "))
     for old, new in SPELLINGS.items():
-        if old != new:
-            flat = F.replace(flat, F.lit(f" {old} "), F.lit(f" {new} "))
+        flat = F.replace(flat, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.trim(flat)
 
 
@@ -67,3 +66,25 @@ def license_scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) ->
     units = lines.unionByName(rows.where(F.length("text").between(1, 4 * longest)).select("doc_id", F.col("text").alias("unit"), F.lit(0).alias("line")))
     found = units.withColumn("digest", F.sha2(canonical(F.col("unit")), 256)).join(digests, "digest")
     return found.groupBy("doc_id", "license_id").agg(F.sum("line").cast("long").alias("n_lines"), (F.min("line") == 0).alias("whole_text"))
+
+
+def canonical_sql(text: str) -> str:
+    flat = f"' ' || trim(regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for old, new in SPELLINGS.items():
+        flat = f"replace({flat}, ' {old} ', ' {new} ')"
+    return f"trim({flat})"
+
+
+def scan_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
+    """The same scan in SQL, comparing canonical texts instead of digests."""
+    longest = max(len(text) for _, text in known)
+    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in known)
+    return f"""
+WITH known AS (SELECT DISTINCT license_id, {canonical_sql("t")} AS canon FROM (VALUES {rows}) AS v(license_id, t)),
+units AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '[\r\n]+')) AS unit, 1 AS line FROM documents
+  UNION ALL SELECT doc_id, text, 0 FROM documents WHERE length(text) <= {4 * longest}
+), canons AS (SELECT doc_id, line, {canonical_sql("unit")} AS canon FROM units WHERE length(unit) BETWEEN 1 AND CASE line WHEN 1 THEN {2 * longest} ELSE {4 * longest} END)
+SELECT doc_id, license_id, CAST(sum(line) AS BIGINT) AS n_lines, min(line) = 0 AS whole_text
+FROM canons JOIN known USING (canon) GROUP BY doc_id, license_id
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terraql.llm.byte_bpe import round_trip
 from terraql.llm.language_id import languages
-from terraql.llm.license_scan import license_scan
+from terraql.llm.license_scan import license_scan, scan_sql
 from terraql.llm.mixing import mix
 from terraql.llm.multi_index import nearest_neighbours
 from terraql.llm.simhash import near_duplicates
@@ -75,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op5_top_k": TOP_K_SQL}
+    return {"op1_url_filter": URL_SQL, "op3_license_scan": scan_sql(), "op5_top_k": TOP_K_SQL}
 
 
 URL_SQL = r"""

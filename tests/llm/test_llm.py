@@ -43,6 +43,16 @@ def test_urls_follow_the_rules(spark, data):
     assert got.astype(object).where(got.notna(), None).equals(want[got.columns].astype(object).where(want.notna(), None))
 
 
+@pytest.mark.parametrize("name", ["op3_license_scan", "op5_top_k"])
+def test_same_as_sql(spark, data, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, data).select(*want.columns)
+    assert order(rows(got)) == order(want.fetchall())
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme/x", "http://", "HTTP://NET/", "x://net", "x://net?a/", "x://anet/", "x://a.NET/b?c#d", "x://É.Example.NET/en/" + "y" * 5000, "x://example.net/en", "x://example.com/de/a/../b", "x://o.org/fr/", "x://a.adult-x.example.org/", "a://b://c/d", "x://evil.com/.net/", "x://net/\n/z"]
     table = spark.createDataFrame([(i, u, "own") for i, u in enumerate(urls)], "page_id long, url string, Host string")
