@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraql import catalog, dialect
-from terraql.functions import bitmaps, scalars, spatial, text, user, vectors
+from terraql.functions import bitmaps, query_syntax, scalars, spatial, text, user, vectors
 from terraql.operators import relational, search
 from terraql.plans.registry import Tables, query
 from terraql.sources import tables
@@ -245,6 +245,12 @@ def text_boolean(t: Tables) -> DataFrame:
     return t.documents.where((the & ~text.contains(w, "and")) | (text.contains(w, "la") & ~the)).select("doc_id")
 
 
+@query(WORDS_SQL + "SELECT doc_id FROM w WHERE (list_contains(w, 'licensed') AND NOT list_contains(w, 'apache')) OR contains(' ' || array_to_string(w, ' ') || ' ', ' mit license. ') OR len(list_filter(w, lambda x: starts_with(x, 'queen'))) > 0")
+def text_query_string(t: Tables) -> DataFrame:
+    found = query_syntax.search('(licensed AND NOT apache) OR "MIT License." text:queen*', {"text": F.col("text")})
+    return t.documents.where(found).select("doc_id")
+
+
 @query("SELECT p_partkey FROM part WHERE p_size & 5 = 5")
 def bit_set_query(t: Tables) -> DataFrame:
     return t.part.where(search.bit_set(F.col("p_size"), 5)).select("p_partkey")

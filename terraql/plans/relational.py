@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraql import dialect
+from terraql import dialect, statements
 from terraql.functions import bitmaps, scalars
 from terraql.operators import dml, history, ranking, recursion, relational
 from terraql.operators.access import Table, page
@@ -540,6 +540,21 @@ def delete_returning(t: Tables) -> DataFrame:
     return gone.select("o_orderkey", "o_orderstatus")
 
 
+@query("SELECT n_nationkey, upper(n_name) AS n_name FROM nation WHERE n_regionkey = 2")
+def update_statement(t: Tables) -> DataFrame:
+    made = statements.Database(t.spark, {"nation": t.nation}, {"nation": ("n_nationkey",)})
+    return made.execute("UPDATE nation SET n_name = upper(n_name) WHERE n_regionkey = 2 RETURNING n_nationkey, n_name")
+
+
+@query("SELECT * FROM (SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 100, 3)")
+def statements_in_turn(t: Tables) -> DataFrame:
+    made = statements.Database(t.spark, {"nation": t.nation}, {"nation": ("n_nationkey",)})
+    made.execute("DELETE FROM nation WHERE n_regionkey = 1")
+    made.execute("INSERT INTO nation (n_nationkey, n_regionkey) VALUES (100, 3)")
+    made.execute("DELETE FROM nation OPTIONS (DRY RUN)")
+    return made.execute("SELECT n_nationkey, n_regionkey FROM nation")
+
+
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
 def current_versions(t: Tables) -> DataFrame:
     log = t.events.withColumn("gone", F.col("event_type") == "error")

@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from terraql import catalog, dialect
+from terraql import catalog, dialect, statements
 from terraql.errors import EngineError
-from terraql.functions import bitmaps, scalars, text
+from terraql.functions import bitmaps, query_syntax, scalars, text
 from terraql.operators import dml, ranking, recursion, relational, search
 from terraql.operators.access import Table, page
 from terraql.streaming import windows
@@ -175,3 +175,24 @@ def test_streams(spark, tmp_path):
     seen = []
     windows.pending_writes(stream, lambda df, n: seen.append((n, df.count())), str(tmp_path / "cp")).awaitTermination()
     assert sum(n for _, n in seen) == 40
+
+
+def test_search_strings(spark):
+    rows = spark.createDataFrame([(1, "red fox runs", "a"), (2, "red dog", "b"), (3, "blue fox", "a"), (4, None, "a")], "k int, s string, g string")
+    fields = {"s": F.col("s"), "g": F.col("g")}
+    found = lambda q: [r["k"] for r in rows.where(query_syntax.search(q, fields)).orderBy("k").collect()]
+    assert found("red blue") == [1, 2, 3] and found("+red -dog") == [1] and found('"red fox" OR blu*') == [1, 3]
+    assert found("(red OR blue) AND g:a") == [1, 3] and found("NOT fox") == [2] and found("red AND NOT fox") == [2]
+    assert state(lambda: query_syntax.search("(red", fields)) == state(lambda: query_syntax.search("red)", fields)) == "42601"
+    assert state(lambda: query_syntax.search("z:red", fields)) == "42703"
+
+
+def test_statements(spark):
+    made = statements.Database(spark, {"t": spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")}, {"t": ("k",)})
+    assert made.execute("UPDATE t SET v = 'WHERE, (', k = k + 10 WHERE k IN (2, 3) OPTIONS (DRY RUN)").first()[0] == 1
+    assert values(made.execute("SELECT k FROM t")) == [(1,), (2,)]
+    assert values(made.execute("DELETE FROM t WHERE v = 'y' RETURNING k, concat(v, '!') AS w")) == [(2, "y!")]
+    assert made.execute("INSERT INTO t SELECT k + 5, v FROM t").first()[0] == 1
+    assert state(lambda: made.execute("INSERT INTO t VALUES (1, 'z')")) == "23505"
+    assert state(lambda: made.execute("DELETE FROM u")) == "42F01"
+    assert state(lambda: made.execute("UPDATE t VALUES 1")) == "0AF00"
