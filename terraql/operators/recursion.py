@@ -1,7 +1,7 @@
 """Recursive queries over edges (parent, child): by level, or depth first in pre- or postorder.
 
-A round joins the frontier with the edges. Every few rounds what was found is written to the shared
-checkpoint folder, so that plans stay short at any depth.
+A round joins the frontier with the edges. A frontier is kept in memory or on disk for the next round; every few
+rounds it is written to the shared checkpoint folder, so that plans stay short at any depth.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rounds between checkpoints.
-ROUNDS = 4
+ROUNDS = 8
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def descend(edges: DataFrame, roots: DataFrame, parent: str, child: str, most: i
         level += 1
         step = frontier.join(edge, frontier["node"] == edge["_p"]).where(~F.array_contains("path", F.col("_c")))
         frontier = step.select(F.col("_c").alias("node"), F.lit(level).alias("level"), F.concat("path", F.array("_c")).alias("path"))
-        frontier = _kept(frontier)
+        frontier = _kept(frontier) if level % ROUNDS == 0 else frontier.persist()
         if frontier.isEmpty():
             break
         parts.append(frontier)
