@@ -494,6 +494,26 @@ def recursion_postorder(t: Tables) -> DataFrame:
     return found.select("node", F.row_number().over(order).cast("bigint").alias("place"))
 
 
+WIDE = """WITH RECURSIVE edges AS (SELECT (p_partkey + 1) // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey BETWEEN 2 AND 10000),
+walk AS (SELECT 1::BIGINT AS node, 0 AS level, [1::BIGINT] AS path UNION ALL SELECT child, level + 1, list_append(path, child) FROM walk JOIN edges ON parent = node) """
+
+
+def _wide(t: Tables) -> DataFrame:
+    """Up to 10,000 nodes, three below each."""
+    edges = t.part.where(F.col("p_partkey").between(2, 10_000)).select(F.expr("(p_partkey + 1) div 3").alias("parent"), F.col("p_partkey").alias("child"))
+    return recursion.descend(edges, t.spark.sql("SELECT 1L AS node"), "parent", "child")
+
+
+@query(WIDE + "SELECT node, level FROM walk")
+def recursion_wide_by_level(t: Tables) -> DataFrame:
+    return recursion.level_order(_wide(t)).select("node", "level")
+
+
+@query(WIDE + "SELECT node, level FROM walk ORDER BY path")
+def recursion_wide_preorder(t: Tables) -> DataFrame:
+    return recursion.preorder(_wide(t)).select("node", "level")
+
+
 @query("WITH RECURSIVE up AS (SELECT 173::BIGINT AS node UNION ALL SELECT node // 2 FROM up WHERE node > 1) SELECT node FROM up")
 def recursion_ancestors(t: Tables) -> DataFrame:
     return dialect.sql(t.spark, "WITH RECURSIVE up(node) AS (SELECT 173L UNION ALL SELECT node div 2 FROM up WHERE node > 1) SELECT node FROM up")
