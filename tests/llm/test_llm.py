@@ -380,11 +380,24 @@ def test_repeats_of_all_kinds(spark, gathered, monkeypatch):
     assert order(rows(suffix_dedup.repeated_bytes(table, gathered=gathered))) == want
 
 
-def test_pieces_of_a_long_text(spark):
-    rng = np.random.default_rng(10)
-    raw = bytes(rng.integers(97, 123, 5000).tolist())
-    whole = [(p + f, c) for p, _, _, first, count in suffix_dedup.cells(raw, 400, 160) for f, c in zip(first, count, strict=True)]
-    assert whole[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(whole, whole[1:], strict=False)) and sum(whole[-1]) == 4601
+def test_pieces_have_the_same_windows(monkeypatch):
+    raw = bytes(np.random.default_rng(10).integers(97, 123, 5000).tolist()) + b"ab" * 600
+    found = []
+    for size in (1 << 20, 1000):
+        monkeypatch.setattr(suffix_dedup, "PIECE", size)
+        cells = [(p + f + i, h, p + a) for p, hs, anchors, first, count in suffix_dedup.cells(raw, 400, 160) for h, a, f, n in zip(hs, anchors, first, count, strict=True) for i in range(n)]
+        found.append(cells)
+    assert found[0] == found[1] and [w for w, _, _ in found[0]] == list(range(len(raw) - 399))
+
+
+def test_repeats_across_pieces(spark):
+    rng = np.random.default_rng(11)
+    long = "".join(rng.choice(list("abcdefghij"), (1 << 20) + 30_000))
+    cut = (1 << 20) - 300
+    texts = [long, "start " + long[cut : cut + 900] + " stop", long[5:300] + "x" + long[400:900]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = order([(i, *x) for i, x in enumerate(brute_repeats(texts, 400))])
+    assert order(rows(suffix_dedup.repeated_bytes(table))) == want
 
 
 def test_cut_texts(odd_docs):
