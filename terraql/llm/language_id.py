@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraql.llm.shared import cut
+
 #: Buckets of n-grams, n-grams of 1 to so many characters, characters read at a time.
 BUCKETS, LONGEST, PIECE = 1 << 15, 3, 1 << 20
-#: The fit reads at most so many labelled texts of each language.
-SAMPLE = 400
+#: The fit reads at most so many labelled texts of each language; their ids are broadcast up to so many rows.
+SAMPLE, BROADCAST_ROWS = 400, 100_000
 UNKNOWN = "und"
 FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -148,7 +150,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> Model | None:
     # ids first, so that the texts of no others are moved; rows that repeat an id are limited once more
     first = Window.partitionBy("lang").orderBy("key", "doc_id")
     ids = usable.select("lang", "doc_id", key.alias("key")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
-    texts = usable.select("doc_id", "lang", "text", key.alias("key")).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    ids = cut(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = usable.select("doc_id", "lang", "text", key.alias("key")).join(ids, ["doc_id", "lang"], "left_semi")
     again = Window.partitionBy("lang").orderBy("key", "doc_id", F.xxhash64("text"))
     texts = texts.withColumn("row", F.row_number().over(again)).where(F.col("row") <= sample)
     rows = texts.select("lang", "key", "text").mapInArrow(counted, "lang string, key long, at binary, n binary").collect()
