@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraql.llm.shared import bounded_batches
 from terraql.llm.split import Splitter
 from terraql.llm.token_counts import NO_PAIR, PairTable
 
 #: Distinct pre-tokens a worker remembers; new ones of a merge replay; pre-tokens held before one; ids written or read at a time.
-REMEMBERED, NEW, HELD, AT_ONCE = 400_000, 150_000, 4_000_000, 1 << 19
+REMEMBERED, NEW, HELD, AT_ONCE = 400_000, 100_000, 2_000_000, 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -216,6 +217,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", name:
     A null text counts as empty and has no ids. Rows are encoded one by one; texts of any length whole.
     """
 
+    bounded_batches(docs.sparkSession)
+
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         packed = codec(ranks, pattern).encode(x.as_py() for x in texts)
@@ -228,6 +231,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", name:
 def decode(docs: DataFrame, ranks: str, pattern: str, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
     """docs with the bytes that the ids stand for in the binary column ``name``; null ids give no bytes."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.arrow_udf("binary")
     def back(lists: pa.Array) -> pa.Array:
         made = codec(ranks, pattern)
@@ -242,6 +247,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text", wi
     The ids are those of ``encode``; they are decoded in the same pass. ids_sha256 is over the ids as
     little-endian unsigned 32-bit integers. A null or empty text has no tokens and the digests of nothing.
     """
+    bounded_batches(docs.sparkSession)
     fields = "n_tokens:long,ids_sha256:string,decoded_sha256:string" + ",token_ids:array<int>" * with_ids
 
     @F.arrow_udf(f"struct<{fields}>")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraql.llm.shared import cut
+from terraql.llm.shared import bounded_batches, cut
 
 #: Buckets of n-grams, n-grams of 1 to so many characters, characters read at a time.
 BUCKETS, LONGEST, PIECE = 1 << 15, 3, 1 << 20
@@ -116,8 +116,8 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to rows (bucket, n): texts that have the bucket; bucket -1 has all texts."""
     total, n = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            total += counts(text) > 0
+        for text in batch.column(0):
+            total += counts(text.as_py()) > 0
             n += 1
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["bucket", "n"])
@@ -125,9 +125,11 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [counts(x) for x in batch.column("text").to_pylist()]
-        at = [np.flatnonzero(r).astype("<u2") for r in rows]
-        n = [r[a].astype("<u4") for r, a in zip(rows, at, strict=True)]
+        at, n = [], []
+        for text in batch.column("text"):
+            row = counts(text.as_py())
+            at.append(np.flatnonzero(row).astype("<u2"))
+            n.append(row[at[-1]].astype("<u4"))
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())], ["lang", "key", "at", "n"])
 
 
@@ -137,6 +139,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> Model | None:
     Document frequencies are over all of these; weights and temperature are fitted on those ``sample`` of each
     language with the smallest hashes of their ids.
     """
+    bounded_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     found = usable.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     seen = {r["bucket"]: r["n"] for r in found}
@@ -162,12 +165,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> Model | None:
 
 def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
     """struct(lang_pred, score) of each whole text; ``und`` and 0 for null, for no letter, and without a model."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
         model = held.value
-        out = [model.predict(x) if x and model else (UNKNOWN, 0.0) for x in texts.to_pylist()]
+        out = [model.predict(x.as_py()) if x.is_valid and model else (UNKNOWN, 0.0) for x in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["lang_pred", "score"])
 
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))

@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of an Arrow batch, at most: two workers hold a few copies each of theirs beside the heap of an executor.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for the bytes of an Arrow batch; one that is lower already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its rows kept in the shared folder and its lineage gone; Spark's cleaner removes the rows."""
     shared_dir(df.sparkSession)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraql.llm.components import components
-from terraql.llm.shared import cut
+from terraql.llm.shared import bounded_batches, cut
 
 SEED, TILE, CHUNK = 42, 8192, 1 << 17
 #: Up to so many fingerprints, buckets agree on 1, 2 or 3 blocks; all are exact, more blocks make smaller buckets and more copies.
@@ -49,7 +49,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 @F.arrow_udf(T.LongType())  # a type, not a string, as workers import this without a session
 def fingerprints(text: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(x) for x in text.to_pylist()], np.uint64).view(np.int64))
+    return pa.array(np.array([fingerprint(x.as_py()) for x in text], np.uint64).view(np.int64))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, doc_id: st
     """
     if width != 4:
         raise ValueError("fingerprints are over shingles of four words")
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprints(F.col(text)).alias("fp"))
     own = cut(own)
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))

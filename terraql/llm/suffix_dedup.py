@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraql.llm.shared import cut, scratch
+from terraql.llm.shared import bounded_batches, cut, scratch
 
 SPAN, GRAM = 400, 160
-#: Bytes of a text sorted at a time, and different cells of an anchor that are gathered in a task.
-PIECE, GATHERED = 1 << 20, 2000
+#: Bytes of a text sorted at a time, different cells of an anchor that are gathered in a task, and windows sorted at a time.
+PIECE, GATHERED, AT_ONCE = 1 << 18, 2000, 1 << 18
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 PLACE = np.uint64((1 << 21) - 1)
@@ -159,7 +159,7 @@ def _sorted(table: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
     anchors, count = table.column("anchor").to_numpy(), table.column("count").to_numpy().astype(np.int64)
     starts = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
     sums = np.add.reduceat(count, starts)
-    part = np.cumsum(sums) // (1 << 20)
+    part = np.cumsum(sums) // AT_ONCE
     for p in np.unique(part):
         own = starts[part == p]
         following = starts[starts > own[-1]]
@@ -205,6 +205,7 @@ def text_digest(text: Column) -> Column:
 
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, gathered: int = GATHERED) -> DataFrame:
     """(digest, spans): for each text by its digest, the bytes [first, last) of windows that start anywhere else too."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(text_digest(F.col("text")).alias("digest"), "text")
     with scratch(docs.sparkSession) as tables:
         long = texts.where(F.octet_length("text") >= span)

@@ -17,7 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraql.llm.split import PIECE, Splitter
+from terraql.llm.shared import bounded_batches
+from terraql.llm.split import Splitter
 
 NO_PAIR = np.int32(2**31 - 1)
 #: Distinct pre-tokens that a worker remembers, those merged at a time, and pre-tokens held before new ones are merged.
@@ -251,6 +252,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
     empty: 0 bytes, 0 tokens. Rows are counted one by one, so repeated rows repeat. Texts of any length are
     read whole, in pieces of bounded memory.
     """
+    bounded_batches(docs.sparkSession)
     new = ("n_bytes", "n_tokens", "over_limit")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     parts = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), count_udf(vocabulary)(F.col(text)).alias("n_tokens"))
