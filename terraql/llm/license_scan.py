@@ -33,10 +33,14 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 COPYRIGHT = r"(?im)^[\s/*#;.-]*(?:copyright\b.*(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©).*$"
 
+#: The same within a line, for texts of any length: in a run of blank or banner lines COPYRIGHT reads from each line to the
+#: end of the run. What it takes of the lines above a copyright line are characters that canonical texts don't have.
+COPYRIGHT_LINE = COPYRIGHT.replace(r"[\s/*#;.-]*", r"[ \t\x0B\f/*#;.-]*+")
+
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, runs of other characters than letters and digits as one blank, one spelling."""
-    flat = F.regexp_replace(text, COPYRIGHT, " ")
+    flat = F.regexp_replace(text, COPYRIGHT_LINE, " ")
     flat = F.trim(F.regexp_replace(F.lower(flat), r"[^\p{L}\p{N}]+", " "))
     flat = F.concat(F.lit(" "), flat, F.lit(" "))
     for old, new in SPELLINGS.items():
@@ -53,17 +57,14 @@ def license_scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) ->
     """doc_id, license_id, n_lines and whole_text: a row for each document and licence found in it.
 
     ``n_lines`` counts the lines that are a known text as a whole, ``whole_text`` says whether the document is.
-    Null and empty texts hold none. Rows that share a doc_id are counted together. Lines longer than twice
-    the longest known text can't be one and are not evened out; copyright lines in them are the exception, so a
-    whole document is evened out only where it has no more than four times that length. Of the known texts,
+    Null and empty texts hold none. Rows that share a doc_id are counted together. Texts and lines of any length are
+    evened out, as copyright lines, punctuation and blanks that fall away have no bound. Of the known texts,
     a table in the code, all digests are broadcast.
     """
-    longest = max(len(text) for _, text in known)
     digests = F.broadcast(known_digests(docs, known))
     rows = docs.select("doc_id", "text")
     lines = rows.select("doc_id", F.explode(F.split("text", "[\r\n]+")).alias("unit"), F.lit(1).alias("line"))
-    lines = lines.where(F.length("unit").between(1, 2 * longest))
-    units = lines.unionByName(rows.where(F.length("text").between(1, 4 * longest)).select("doc_id", F.col("text").alias("unit"), F.lit(0).alias("line")))
+    units = lines.unionByName(rows.select("doc_id", F.col("text").alias("unit"), F.lit(0).alias("line"))).where("unit <> ''")
     found = units.withColumn("digest", F.sha2(canonical(F.col("unit")), 256)).join(digests, "digest")
     return found.groupBy("doc_id", "license_id").agg(F.sum("line").cast("long").alias("n_lines"), (F.min("line") == 0).alias("whole_text"))
 

@@ -148,6 +148,15 @@ def test_licences(spark, docs, odd_docs, no_docs):
     assert {r[:2] for r in rows(license_scan.license_scan(docs))} == set(want)
 
 
+def test_licences_in_texts_of_any_length(spark):
+    notice, isc = "Released under the MIT License.", next(text for name, text in license_scan.KNOWN if name == "ISC")
+    owners = "".join(f"Copyright (c) {1900 + i} The Holder Number {i} and Contributors\n" for i in range(100))
+    banner = ("/" + "*" * 78 + "/\n") * 100
+    texts = [owners + isc, banner + isc + "\n" + banner, "some words\n" + "*" * 5000 + " " + notice + " " + "-" * 5000, " " * 9000 + notice, "\n" * 300_000 + notice, "words " * 2000 + notice, "\n *\n * " * 2000 + owners + notice]
+    got = rows(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert order(got) == [(0, "ISC", 1, True), (1, "ISC", 1, True), (2, "MIT", 1, False), (3, "MIT", 1, True), (4, "MIT", 1, True), (6, "MIT", 1, True)]
+
+
 # --- op 4 and 7
 
 
