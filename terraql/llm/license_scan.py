@@ -6,14 +6,23 @@ joined with the digests of known licence texts. Looked up are a whole document a
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spellings held equal, after those of the usual licence-matching guidelines.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "acknowledgement": "acknowledgment", "copyright owner": "copyright holder", "sub license": "sublicense", "non commercial": "noncommercial", "per cent": "percent", "wilful": "willful", "fulfil": "fulfill", "whilst": "while", "favour": "favor", "https": "http"}
 
+COPYRIGHT = r"(?im)^[\s/*#;.-]*(?:copyright\b.*(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©).*$"
+
+#: The same within a line, for texts of any length: in a run of blank or banner lines COPYRIGHT reads from each line to the
+#: end of the run. What it takes of the lines above a copyright line are characters that canonical texts don't have.
+COPYRIGHT_LINE = COPYRIGHT.replace(r"[\s/*#;.-]*", r"[ \t\x0B\f/*#;.-]*+")
+
 #: Notices and short licences by their SPDX identifiers.
-KNOWN: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -31,11 +40,36 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
 )
 
-COPYRIGHT = r"(?im)^[\s/*#;.-]*(?:copyright\b.*(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©).*$"
+#: Titles that full texts come with.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License', "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License', "BSD License"),
+}
+FULL = ("MIT", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "CC0-1.0")
 
-#: The same within a line, for texts of any length: in a run of blank or banner lines COPYRIGHT reads from each line to the
-#: end of the run. What it takes of the lines above a copyright line are characters that canonical texts don't have.
-COPYRIGHT_LINE = COPYRIGHT.replace(r"[\s/*#;.-]*", r"[ \t\x0B\f/*#;.-]*+")
+
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The full licences in the forms they are copied in: with and without title, numbers, appendix and filled-in fields.
+
+    Lines that begin with a copyright are left out of canonical texts, so each form is also known with a line for each paragraph.
+    """
+    bodies = [(name, files("terraql.llm").joinpath("licenses", f"{name}.txt").read_text("utf-8")) for name in FULL]
+    bodies += [("ISC", text.replace("and/or", old)) for name, text in NOTICES if name == "ISC" for old in ("and/or", "and")]
+    bsd = dict(bodies)["BSD-3-Clause"]
+    bodies.append(("BSD-2-Clause", re.sub(r"(?ms)^3\..*?\n\n", "", bsd)))
+    bodies += [(name, re.sub(r"(?m)^[123]\.", "*", text)) for name, text in bodies if name.startswith("BSD")]
+    bodies += [(name, "All rights reserved.\n\n" + text) for name, text in bodies if name in TITLES]
+    bodies += [(name, f"{title}\n\n{text}") for name, text in bodies for title in TITLES.get(name, ())]
+    bodies += [(name, text.split("END OF TERMS AND CONDITIONS")[0] + end) for name, text in bodies if "END OF TERMS" in text for end in ("", "END OF TERMS AND CONDITIONS")]
+    bodies += [(name, text.replace("[yyyy] [name of copyright owner]", "2000")) for name, text in bodies if "[yyyy]" in text]
+    bodies += [(name, re.sub(r"(?<=\S)[ ]*\n[ \t]*(?=\S)", " ", text)) for name, text in bodies]
+    words = lambda text: " ".join(re.findall(r"[^\W_]+", re.sub(COPYRIGHT, " ", text).lower()))
+    return tuple({(name, words(text)): (name, text) for name, text in bodies}.values())
+
+
+KNOWN = NOTICES + full_texts()
 
 
 def canonical(text: Column) -> Column:

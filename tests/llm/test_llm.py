@@ -157,6 +157,33 @@ def test_licences_in_texts_of_any_length(spark):
     assert order(got) == [(0, "ISC", 1, True), (1, "ISC", 1, True), (2, "MIT", 1, False), (3, "MIT", 1, True), (4, "MIT", 1, True), (6, "MIT", 1, True)]
 
 
+def test_full_licences(spark):
+    """Each full text, as it is and in changed case, punctuation, wrapping and copyright lines."""
+    import textwrap
+    from pathlib import Path
+
+    folder = Path(license_scan.__file__).with_name("licenses")
+    full = {path.stem: path.read_text("utf-8") for path in folder.glob("*.txt")}
+    assert {"MIT", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "CC0-1.0"} == set(full)
+    full["BSD-2-Clause"] = full["BSD-3-Clause"].split("3.  Neither")[0] + "THIS SOFTWARE" + full["BSD-3-Clause"].split("THIS SOFTWARE", 1)[1]
+    owners = "".join(f"// Copyright (c) {1990 + i} Someone {i}\n" for i in range(30))
+
+    def changed(text):
+        parts = [textwrap.wrap(" ".join(part.split()), 64) for part in text.split("\n\n") if not part.strip().lower().startswith("copyright (c)")]
+        return owners + "/*\n" + "\n *\n".join(" ** " + "\n ** ".join(part) for part in parts).upper().replace(",", " ,") + "\n */\n"
+
+    plain = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "CC0-1.0"]
+    texts = [(name, text) for name, text in full.items()]
+    texts += [(name, changed(full[name])) for name in plain]
+    texts += [(name, full[name].upper().replace("\n", "\r\n # ")) for name in full]
+    texts += [("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + full["MIT"]), ("BSD-3-Clause", "Copyright 2020, A\nAll rights reserved.\n\n" + full["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))]
+    texts += [("Apache-2.0", full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 The Authors")), ("Apache-2.0", full["Apache-2.0"].split("END OF TERMS")[0])]
+    texts += [(None, full["MIT"] + "and more"), (None, full["GPL-3.0-only"][:-300])]
+    found = rows(license_scan.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")))
+    whole = {i: name for i, name, _, is_whole in found if is_whole}
+    assert whole == {i: name for i, (name, _) in enumerate(texts) if name}
+
+
 # --- op 4 and 7
 
 
