@@ -20,8 +20,36 @@ from terraql.llm.vectors import blocks, finite, matrices, queries_of
 
 #: Rows of an index block, queries of a block, and bitmaps kept for each attribute.
 ROWS, QUERIES, SLICES = 1 << 16, 2048, 6
-#: Components beyond this size would overflow a 64-bit score of any vector of up to 4,096 components.
-LARGEST = 1 << 25
+#: Rows with a component from these sizes on are kept in blocks of their own, the last as Python integers.
+LARGE, HUGE = 1 << 25, 1 << 62
+#: Doubles from this size on are integers.
+WHOLE = 1 << 53
+
+
+def integers(values: np.ndarray) -> np.ndarray:
+    """Whole doubles as int64, or as Python integers where one is too large."""
+    return values.astype(np.int64) if np.abs(values).max(initial=0) < HUGE else np.frompyfunc(int, 1, 1)(values)
+
+
+def products(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows and a query: int64, or Python integers where some could overflow."""
+    weight = sum(abs(x) for x in query.tolist())
+    sure = np.zeros(len(values), bool)
+    if values.dtype != object and query.dtype != object:
+        sure = np.abs(values).max(axis=1, initial=0) <= ((1 << 63) - 1) // max(weight, 1)
+        if sure.all():
+            return values @ query
+    out = np.empty(len(values), object)
+    if sure.any():
+        out[sure] = values[sure] @ query
+    out[~sure] = values[~sure].astype(object) @ query.astype(object)
+    return out
+
+
+def first(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores; of equal ones, those of the smaller ids."""
+    order = np.lexsort((ids, -scores))[:k] if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k], np.int64)
+    return ids[order], scores[order]
 
 
 def added(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -94,7 +122,7 @@ class BitSlices:
             else:
                 sure, need, tied = sure | ones, need - n, tied & ~s
         # every sum is at most this far below the score in units of the kept bits, so a lower sum can't reach the boundary
-        floor = limit - int((((1 << self.shift) - 1) * int(weight.sum())) // (1 << self.shift)) - 1
+        floor = limit - int((((1 << self.shift) - 1) * sum(weight.tolist())) // (1 << self.shift)) - 1
         return self._exact(self._at_least(sums, rest, floor), query)
 
     def _at_least(self, sums: list[tuple[int, np.ndarray]], rest: np.ndarray, floor: int) -> np.ndarray:
@@ -114,34 +142,43 @@ class BitSlices:
 
     def _exact(self, bitmap: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
-        return rows, self.values[rows] @ query
+        return rows, products(self.values[rows], query)
 
 
 def search(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: list[np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
     best: dict[int, tuple[np.ndarray, np.ndarray]] = {i: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for i in range(len(ids))}
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def settle(size: int) -> None:
-        index = BitSlices(*(np.concatenate(x) for x in zip(*held.pop(size), strict=True)))
+    def settle(key: tuple[int, int]) -> None:
+        of, values = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
+        index = BitSlices(of, values) if values.dtype != object else None
         for i, query in enumerate(queries):
-            if len(query) == size:
-                rows, scores = index.best(query, ids[i], k)
-                found = np.concatenate([best[i][0], index.ids[rows]]), np.concatenate([best[i][1], scores])
-                order = np.lexsort((found[0], -found[1]))[:k]
-                best[i] = found[0][order], found[1][order]
+            if len(query) == key[0]:
+                if index is not None and query.dtype != object:
+                    rows, scores = index.best(query, ids[i], k)
+                else:
+                    rows = np.flatnonzero(of != ids[i])
+                    scores = products(values[rows], query)
+                best[i] = first(np.concatenate([best[i][0], of[rows]]), np.concatenate([best[i][1], scores]), k)
 
     for batch in batches:
         vec = batch.column("vec_id").to_numpy()
         for rows, values in matrices(batch, "v"):
-            size = values.shape[1]
-            held.setdefault(size, []).append((vec[rows], values.astype(np.int64)))
-            if sum(len(x) for x, _ in held[size]) >= ROWS:
-                settle(size)
-    for size in list(held):
-        settle(size)
+            largest = np.abs(values).max(axis=1)
+            kind = (largest >= LARGE).astype(np.int64) + (largest >= HUGE)
+            for n in np.unique(kind).tolist():
+                key = values.shape[1], n
+                held.setdefault(key, []).append((vec[rows[kind == n]], integers(values[kind == n])))
+                if sum(len(x) for x, _ in held[key]) >= ROWS:
+                    settle(key)
+    for key in list(held):
+        settle(key)
     counts = [len(best[i][0]) for i in range(len(ids))]
-    pick = lambda j: np.concatenate([best[i][j] for i in range(len(ids))]) if counts else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(pick(0)), pa.array(pick(1))], ["query_id", "vec_id", "score"])
+    found = np.concatenate([best[i][0] for i in range(len(ids))]) if counts else np.zeros(0, np.int64)
+    scores = [s for i in range(len(ids)) for s in best[i][1].tolist()]
+    over = [(s >= 1 << 63) - (s < -(1 << 63)) for s in scores]
+    scores = [0 if o else s for s, o in zip(scores, over, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(found), pa.array(scores, pa.int64()), pa.array(over, pa.int8())], ["query_id", "vec_id", "score", "over"])
 
 
 def top_k(vectors: DataFrame, modulus: int, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -149,20 +186,21 @@ def top_k(vectors: DataFrame, modulus: int, k: int = 10, scale: int = 1024, vec_
 
     Components are floor(scale * x), x as a double. Candidates are all rows of another id and the same
     number of components; ties go to the smaller id, and with fewer than k candidates all are returned. Rows
-    with a null id, and vectors null, empty or with a null, non-finite or too large component (2**25 after
-    scaling) take no part. Rows that repeat an id are candidates each, and one query: that of the smallest
+    with a null id, and vectors null, empty or with a null or non-finite component take no part. Components of any
+    size are scored exactly; it is an error if one overflows a double when scaled, or if one of the k highest scores
+    doesn't fit a long. Rows that repeat an id are candidates each, and one query: that of the smallest
     vector. Queries are held in blocks of 2,048, and each block passes over all rows.
     """
-    quantised = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale))
-    small = ~F.exists(F.col(vector), lambda x: F.abs(x.cast("double")) * scale >= LARGEST)
-    index = vectors.where(F.col(vec_id).isNotNull() & finite(F.col(vector)) & small).select(F.col(vec_id).cast("long").alias("vec_id"), quantised.alias("v"))
+    scaled = F.transform(F.col(vector), lambda x: x.cast("double") * scale)
+    quantised = F.transform(scaled, lambda x: F.when(F.abs(x) < WHOLE, F.floor(x).cast("double")).otherwise(x))
+    index = vectors.where(F.col(vec_id).isNotNull() & finite(F.col(vector))).select(F.col(vec_id).cast("long").alias("vec_id"), quantised.alias("v"))
     spark, parts = vectors.sparkSession, []
     for ids, queries in blocks(queries_of(index, modulus), QUERIES):
-        held = spark.sparkContext.broadcast((ids, [q.astype(np.int64) for q in queries]))
-        near = index.mapInArrow(lambda b, held=held: search(b, *held.value, k), "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        held = spark.sparkContext.broadcast((ids, [integers(q) for q in queries]))
+        near = index.mapInArrow(lambda b, held=held: search(b, *held.value, k), "query_id long, vec_id long, score long, over tinyint")
+        order = Window.partitionBy("query_id").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id")
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        parts.append(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        parts.append(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score of the top k doesn't fit a long"))).alias("score")))
         if len(parts) > 1:  # keeps the plan of many blocks short
             parts = [cut(parts[0].unionByName(parts[1]))]
     return parts[0] if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -285,6 +285,33 @@ def test_exact_top_k(spark, data):
     assert top_k.top_k(odd.limit(0), 100).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    large = [(i, (rng.normal(size=6) * 10.0 ** rng.integers(0, 6)).tolist()) for i in range(400)]
+    large += [(1000, [32768.0, 1.0]), (1100, [-0.5, 40000.25]), (1001, [2.0**18, -(2.0**18)]), (1002, [0.001, 3e5]), (1003, [2.0**17, 2.0**17]), (1200, [2.0**18, 2.0**17])]
+    floor = lambda v: [int(x) for x in np.floor(1024 * v)]
+    product = lambda v, w: sum(a * b for a, b in zip(floor(v), floor(w), strict=True))
+    table = spark.createDataFrame(large, "vec_id long, embedding array<double>").repartition(3)
+    got = order(rows(top_k.top_k(table, 100)))
+    assert got == brute_nearest(large, 100, 10, product, lambda v: True)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", large)
+    assert got == order(con.sql(queries.TOP_K_SQL).fetchall())
+
+
+def test_top_k_of_scores_around_a_long(spark):
+    """Partial sums and scores of lower ranks may pass a long; a score of the k highest may not."""
+    huge = [(0, [2.0**40, 2.0**40, 1.0]), (1, [2.0**40, -(2.0**40), 3.0]), (2, [-1e30, 0.0, 0.0]), (3, [1.0, 1.0, 0.0]), (100, [0.0, 0.0, 1e25]), (4, [-(2.0**60), 2.0**60, 0.0])]
+    floor = lambda v: [int(x) for x in np.floor(1024 * v)]
+    product = lambda v, w: sum(a * b for a, b in zip(floor(v), floor(w), strict=True))
+    table = spark.createDataFrame(huge, "vec_id long, embedding array<double>").repartition(4)
+    zero = [r for r in huge if r[0] != 100]
+    assert order(rows(top_k.top_k(table.where("vec_id <> 100"), 100, k=3))) == brute_nearest(zero, 100, 3, product, lambda v: True)
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        top_k.top_k(table, 100, k=5).collect()
+
+
 def test_bit_slices_find_ties():
     rng = np.random.default_rng(2)
     for spread in (2, 40, 5000):
