@@ -149,8 +149,7 @@ def external_aggregate(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_mktsegment").agg(user.aggregate(twice, "bigint")("c_custkey").alias("twice"))
 
 
-@query("SELECT o_orderkey, unnest(range(1, o_orderkey % 4 + 1)) AS i FROM orders WHERE o_orderkey < 100")
-def external_table_function(t: Tables) -> DataFrame:
+def _up_to(t: Tables) -> None:
     from pyspark.sql.functions import udtf
 
     @udtf(returnType="i: bigint")
@@ -161,9 +160,20 @@ def external_table_function(t: Tables) -> DataFrame:
 
     t.spark.udtf.register("up_to", UpTo)
     t.orders.createOrReplaceTempView("orders")
+
+
+@query("SELECT o_orderkey, unnest(range(1, o_orderkey % 4 + 1)) AS i FROM orders WHERE o_orderkey < 100")
+def external_table_function(t: Tables) -> DataFrame:
+    _up_to(t)
     return t.spark.sql("SELECT o_orderkey, i FROM orders, LATERAL up_to(o_orderkey % 4) WHERE o_orderkey < 100")
 
 
+@query("SELECT o_orderkey, unnest(range(1, o_orderkey % 4 + 1)) AS i FROM orders")
+def external_table_function_whole(t: Tables) -> DataFrame:
+    _up_to(t)
+    return t.spark.sql("SELECT o_orderkey, i FROM orders, LATERAL up_to(o_orderkey % 4)")
+
+
 # --- text
 
 

@@ -96,6 +96,11 @@ def unnest_at(t: Tables) -> DataFrame:
     return relational.unnest(rows, "lines", "line", ordinality="place").select("l_orderkey", "line.l_linenumber", "line.l_partkey", "place")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS place FROM lineitem")
+def unnest_at_whole(t: Tables) -> DataFrame:
+    return relational.unnest(_lines(t), "lines", "line", ordinality="place").select("l_orderkey", "line.l_linenumber", "line.l_partkey", "place")
+
+
 @query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 45")
 def unnest_filtered(t: Tables) -> DataFrame:
     return relational.unnest(_lines(t), "lines", "line").where("line.l_quantity > 45").select("l_orderkey", "line.l_partkey")
@@ -248,6 +253,11 @@ def join_lateral(t: Tables) -> DataFrame:
     return dialect.sql(t.spark, "SELECT o_orderkey, most FROM orders, LATERAL (SELECT max(l_quantity) AS most FROM lineitem WHERE l_orderkey = o_orderkey) AS x WHERE o_orderkey < 300")
 
 
+@query("SELECT o_orderkey, most FROM orders, LATERAL (SELECT max(l_quantity) AS most FROM lineitem WHERE l_orderkey = o_orderkey) AS x")
+def join_lateral_whole(t: Tables) -> DataFrame:
+    return dialect.sql(t.spark, "SELECT o_orderkey, most FROM orders, LATERAL (SELECT max(l_quantity) AS most FROM lineitem WHERE l_orderkey = o_orderkey) AS x", orders=t.orders, lineitem=t.lineitem)
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (7, 11, 19, 23) ORDER BY o_custkey, o_orderkey")
 def join_in_list(t: Tables) -> DataFrame:
     return t.orders.where(scalars.in_list(F.col("o_custkey"), [7, 11, 19, 23])).select("o_orderkey", "o_custkey").orderBy("o_custkey", "o_orderkey")
@@ -322,6 +332,12 @@ def array_aggregate(t: Tables) -> DataFrame:
     return t.lineitem.where("l_orderkey < 100").groupBy("l_orderkey").agg(numbers.alias("numbers"))
 
 
+@query("SELECT l_orderkey, array_to_string(list_sort(list(l_linenumber)), ',') AS numbers FROM lineitem GROUP BY l_orderkey")
+def array_aggregate_whole(t: Tables) -> DataFrame:
+    numbers = F.array_join(F.array_sort(F.collect_list("l_linenumber")).cast("array<string>"), ",")
+    return t.lineitem.groupBy("l_orderkey").agg(numbers.alias("numbers"))
+
+
 @query("SELECT user_id, min(value) AS min_ever, max(value) AS max_ever, count(*) AS count_updates FROM events GROUP BY user_id")
 def extrema_ever(t: Tables) -> DataFrame:
     return history.ever(t.events, ["user_id"], "value")
@@ -586,6 +602,11 @@ def changes_after_version(t: Tables) -> DataFrame:
     return history.changes(t.events.withColumnRenamed("event_id", history.VERSION), 500).limit(50).select(F.col(history.VERSION).alias("event_id"), "user_id")
 
 
+@query("SELECT event_id, user_id FROM events WHERE event_id > 500")
+def changes_after_version_whole(t: Tables) -> DataFrame:
+    return history.changes(t.events.withColumnRenamed("event_id", history.VERSION), 500).select(F.col(history.VERSION).alias("event_id"), "user_id")
+
+
 @query("SELECT o_orderkey, 'missing' AS problem FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT -1, 'dangling'")
 def scrub_index(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey")

@@ -14,6 +14,7 @@ from terraql.errors import EngineError
 from terraql.functions import bitmaps, query_syntax, scalars, text
 from terraql.operators import dml, ranking, recursion, relational, search
 from terraql.operators.access import Table, page
+from terraql.plans import QUERIES
 from terraql.streaming import windows
 
 
@@ -196,3 +197,22 @@ def test_statements(spark):
     assert state(lambda: made.execute("INSERT INTO t VALUES (1, 'z')")) == "23505"
     assert state(lambda: made.execute("DELETE FROM u")) == "42F01"
     assert state(lambda: made.execute("UPDATE t VALUES 1")) == "0AF00"
+
+
+def test_whole_tables(spark, data):
+    """Keys beyond those that the queries of the same names without _whole keep."""
+    tables = {name: spark.read.parquet(f"{data}/{name}.parquet") for name in ("lineitem", "orders", "events")}
+    lines, numbers = {}, {}
+    for r in tables["lineitem"].collect():
+        lines.setdefault(r["l_orderkey"], []).append((r["l_linenumber"], r["l_partkey"], r["l_quantity"]))
+    numbers = {k: ",".join(str(x[0]) for x in sorted(v)) for k, v in lines.items()}
+    orders = [r["o_orderkey"] for r in tables["orders"].collect()]
+    want = {
+        "unnest_at_whole": [(k, x[0], x[1], i + 1) for k, v in lines.items() for i, x in enumerate(sorted(v))],
+        "array_aggregate_whole": list(numbers.items()),
+        "join_lateral_whole": [(k, max((x[2] for x in lines.get(k, [])), default=None)) for k in orders],
+        "external_table_function_whole": [(k, i) for k in orders for i in range(1, k % 4 + 1)],
+        "changes_after_version_whole": [(r["event_id"], r["user_id"]) for r in tables["events"].collect() if r["event_id"] > 500],
+    }
+    for name, rows in want.items():
+        assert sorted(map(repr, map(tuple, QUERIES[name](spark, data).collect()))) == sorted(map(repr, rows)), name
