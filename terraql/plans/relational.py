@@ -510,6 +510,16 @@ def recursion_postorder(t: Tables) -> DataFrame:
     return found.select("node", F.row_number().over(order).cast("bigint").alias("place"))
 
 
+@query(TREE + "SELECT node, level FROM walk ORDER BY path")
+def recursion_preorder_whole(t: Tables) -> DataFrame:
+    return recursion.preorder(recursion.descend(_edges(t), t.spark.sql("SELECT 1L AS node"), "parent", "child")).select("node", "level")
+
+
+@query(TREE + "SELECT node, level FROM walk ORDER BY list_append(path, 9223372036854775807)")
+def recursion_postorder_whole(t: Tables) -> DataFrame:
+    return recursion.postorder(recursion.descend(_edges(t), t.spark.sql("SELECT 1L AS node"), "parent", "child")).select("node", "level")
+
+
 WIDE = """WITH RECURSIVE edges AS (SELECT (p_partkey + 1) // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey BETWEEN 2 AND 10000),
 walk AS (SELECT 1::BIGINT AS node, 0 AS level, [1::BIGINT] AS path UNION ALL SELECT child, level + 1, list_append(path, child) FROM walk JOIN edges ON parent = node) """
 
@@ -530,6 +540,25 @@ def recursion_wide_preorder(t: Tables) -> DataFrame:
     return recursion.preorder(_wide(t)).select("node", "level")
 
 
+WIDE_WHOLE = WIDE.replace("p_partkey BETWEEN 2 AND 10000", "p_partkey > 1")
+
+
+def _wide_whole(t: Tables) -> DataFrame:
+    """All parts, three below each."""
+    edges = t.part.where("p_partkey > 1").select(F.expr("(p_partkey + 1) div 3").alias("parent"), F.col("p_partkey").alias("child"))
+    return recursion.descend(edges, t.spark.sql("SELECT 1L AS node"), "parent", "child")
+
+
+@query(WIDE_WHOLE + "SELECT node, level FROM walk")
+def recursion_wide_by_level_whole(t: Tables) -> DataFrame:
+    return recursion.level_order(_wide_whole(t)).select("node", "level")
+
+
+@query(WIDE_WHOLE + "SELECT node, level FROM walk ORDER BY path")
+def recursion_wide_preorder_whole(t: Tables) -> DataFrame:
+    return recursion.preorder(_wide_whole(t)).select("node", "level")
+
+
 @query("WITH RECURSIVE up AS (SELECT 173::BIGINT AS node UNION ALL SELECT node // 2 FROM up WHERE node > 1) SELECT node FROM up")
 def recursion_ancestors(t: Tables) -> DataFrame:
     return dialect.sql(t.spark, "WITH RECURSIVE up(node) AS (SELECT 173L UNION ALL SELECT node div 2 FROM up WHERE node > 1) SELECT node FROM up")

@@ -216,3 +216,26 @@ def test_whole_tables(spark, data):
     }
     for name, rows in want.items():
         assert sorted(map(repr, map(tuple, QUERIES[name](spark, data).collect()))) == sorted(map(repr, rows)), name
+
+
+def test_recursion_over_whole_tables(spark, tmp_path):
+    """More nodes and levels than the queries of the same names without _whole keep, in order."""
+    n = 12_000
+    spark.range(1, n + 1).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+
+    def walk(children):
+        before, after, todo = [], [], [(1, 0, False)]
+        while todo:
+            node, level, done = todo.pop()
+            if done:
+                after.append((node, level))
+                continue
+            before.append((node, level))
+            todo.append((node, level, True))
+            todo += [(c, level + 1, False) for c in reversed(children(node)) if c <= n]
+        return before, after
+
+    two, three = walk(lambda x: [2 * x, 2 * x + 1]), walk(lambda x: [3 * x - 1, 3 * x, 3 * x + 1])
+    want = {"recursion_preorder_whole": two[0], "recursion_postorder_whole": two[1], "recursion_wide_preorder_whole": three[0], "recursion_wide_by_level_whole": sorted(three[0], key=lambda x: (x[1], x[0]))}
+    for name, rows in want.items():
+        assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == rows, name
