@@ -239,3 +239,15 @@ def test_recursion_over_whole_tables(spark, tmp_path):
     want = {"recursion_preorder_whole": two[0], "recursion_postorder_whole": two[1], "recursion_wide_preorder_whole": three[0], "recursion_wide_by_level_whole": sorted(three[0], key=lambda x: (x[1], x[0]))}
     for name, rows in want.items():
         assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == rows, name
+
+
+def test_recursion_has_no_depth_limit(spark, monkeypatch):
+    import inspect
+
+    assert inspect.signature(recursion.descend).parameters["most"].default is None
+    monkeypatch.setattr(recursion, "ROUNDS", 2)
+    monkeypatch.setattr(recursion, "MERGED", 4)
+    chain = spark.range(1, 40).selectExpr("id AS p", "id + 1 AS c")
+    found = recursion.descend(chain, spark.sql("SELECT 1L AS node"), "p", "c")
+    assert [tuple(r) for r in recursion.level_order(found).select("node", "level").collect()] == [(i + 1, i) for i in range(40)]
+    assert recursion.descend(chain, spark.sql("SELECT 1L AS node"), "p", "c", most=6).count() == 7
