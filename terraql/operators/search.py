@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,11 +82,14 @@ def spatial_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat",
     rows = int(reach // cell) + 1
     a = left.withColumnsRenamed({lat: "left_lat", lon: "left_lon"})
     b = right.withColumnsRenamed({lat: "right_lat", lon: "right_lon"})
-    a = a.withColumn("_r", F.floor((F.col("left_lat") + 90) / cell)).withColumn("_c", F.floor((F.col("left_lon") + 180) / cell))
-    wide = int(360 / cell)
+    a = a.withColumn("_r", F.floor((F.col("left_lat") + 90) / cell))
+    wide = math.ceil(360 / cell)
+    a = a.withColumn("_c", F.pmod(F.floor((F.col("left_lon") + 180) / cell), F.lit(wide)))  # 180 is -180
     # columns narrow toward the poles: as many as the distance spans at the far edge of the rows reached
-    edge = F.least(F.abs("right_lat") + reach + cell, F.lit(89.9))
-    columns = F.least(F.ceil(F.lit(reach) / F.cos(F.radians(edge)) / cell) + 1, F.lit(wide // 2))
+    # and all of them where the far edge is at a pole or beyond, as the nearest way may lead across it
+    edge = F.abs("right_lat") + reach + cell
+    columns = F.least(F.ceil(F.lit(reach) / F.cos(F.radians(F.least(edge, F.lit(89.9)))) / cell) + 1, F.lit(wide // 2 + 1))
+    columns = F.when(edge > 89.9, F.lit(wide // 2 + 1)).otherwise(columns)
     b = b.withColumn("_r0", F.floor((F.col("right_lat") + 90) / cell)).withColumn("_c0", F.floor((F.col("right_lon") + 180) / cell)).withColumn("_w", columns)
     b = b.withColumn("_r", F.explode(F.sequence(F.col("_r0") - rows, F.col("_r0") + rows)))
     b = b.withColumn("_c", F.explode(F.array_distinct(F.transform(F.sequence(F.col("_c0") - F.col("_w"), F.col("_c0") + F.col("_w")), lambda c: F.pmod(c, F.lit(wide)))))).drop("_r0", "_c0", "_w")

@@ -144,6 +144,18 @@ def test_points_near_poles_and_date_line(spark):
     assert both == a.crossJoin(b).where(spatial.haversine(F.col("x"), F.col("y"), F.col("lat"), F.col("lon")) <= 1500).count()
 
 
+def test_pairs_across_a_pole(spark):
+    from terraql.functions import spatial
+
+    points = [(i, lat, lon) for i, (lat, lon) in enumerate((sign * lat, float(lon)) for sign in (1, -1) for lat in (90.0, 89.99, 89.97, 89.5, 88.8, 87.0) for lon in (-180, -135, -90, -1, 0, 45, 90, 179.9, 180))]
+    rows = spark.createDataFrame(points, "id int, lat double, lon double")
+    a, b = rows.withColumnsRenamed({"id": "a", "lat": "x", "lon": "y"}), rows
+    for km, cell in ((5, 1.0), (150, 1.0), (150, 7.0)):
+        found = search.spatial_join(rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b"), km, cell=cell).select("a", "b")
+        exact = a.crossJoin(b).where(spatial.haversine(F.col("x"), F.col("y"), F.col("lat"), F.col("lon")) <= km).select("a", "id")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
+
+
 def test_catalog(spark):
     one = catalog.Template("s").table("t", "a int, b string", ("a",)).enum("mood", "low", "high").struct("p", "x int").view("v", "SELECT a FROM t").index("i", "t", "b")
     assert catalog.Template.from_json(one.to_json()) == one
