@@ -13,7 +13,7 @@ from terraql.llm.license_scan import license_scan, scan_sql
 from terraql.llm.mixing import mix
 from terraql.llm.multi_index import nearest_neighbours
 from terraql.llm.simhash import near_duplicates
-from terraql.llm.suffix_dedup import repeated_bytes
+from terraql.llm.suffix_dedup import WORDS, repeated_bytes
 from terraql.llm.token_counts import token_counts
 from terraql.llm.top_k import top_k
 from terraql.llm.url_filter import Rule, judge
@@ -62,7 +62,7 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_bytes(table(spark, sf_dir, "documents"))
+    return repeated_bytes(table(spark, sf_dir, "documents"), words=WORDS)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

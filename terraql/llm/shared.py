@@ -55,10 +55,17 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Makes Spark remove the shuffle files of a query when it ends, instead of when its plan is forgotten.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scratch]:
-    held = Scratch(spark)
+    """Scratch tables for a block; the shuffle files of each table that it writes go when the table is there."""
+    held, before = Scratch(spark), spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
     try:
         yield held
     finally:
+        spark.conf.set(TIDY, before)
         held.drop()

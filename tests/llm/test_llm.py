@@ -516,3 +516,79 @@ def test_pipeline(spark, data, odd_docs):
     for _, stage in corpus_pipeline.STAGES:
         table = stage(spark, table, data)
     assert table.count() > 0
+
+
+def brute_passages(texts, words):
+    """For each text, which of its words are in a passage that another text of the list has too."""
+    split = [WORD.findall(t or "") for t in texts]
+    seen = defaultdict(set)
+    for i, own in enumerate(split):
+        for at in range(len(own) - words + 1):
+            seen[tuple(own[at : at + words])].add(i)
+    out = []
+    for own in split:
+        gone = [False] * len(own)
+        for at in range(len(own) - words + 1):
+            if len(seen[tuple(own[at : at + words])]) > 1:
+                gone[at : at + words] = [True] * words
+        out.append(gone)
+    return out
+
+
+def without(text, gone):
+    """The text without its marked words and what is between two of them."""
+    places = [m.span() for m in WORD.finditer(text)]
+    out, at = [], 0
+    for i, (start, stop) in enumerate(places):
+        if gone[i]:
+            if not (i and gone[i - 1]):
+                out.append(text[at:start])
+            at = stop
+    return "".join([*out, text[at:]])
+
+
+def passage_texts():
+    """Passages about the length, in texts, across pieces, in copies, and within one text only."""
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join("w%d" % x for x in rng.integers(0, 3000, n))
+    shared = [words(n) for n in (30, 49, 50, 51, 53, 90, 400)]
+    texts = [f"{words(rng.integers(0, 80))} {shared[rng.integers(7)]}{' ' * rng.integers(0, 2)}\n{words(rng.integers(0, 80))}" for _ in range(80)]
+    texts += [shared[3].replace(" ", "\n\t"), "x" + shared[4], shared[2] + " " + shared[2], words(20) + " again" * 300, "again " * 120, "a b " * 500, "b a " * 300, words(60), (words(70) + " ") * 3, "é" * 500]
+    return [*texts, *texts[:3], None, "", "of few words"]
+
+
+@pytest.mark.parametrize("gathered", [suffix_dedup.GATHERED, 1])
+def test_passages_that_other_texts_have(spark, gathered, monkeypatch):
+    texts = passage_texts()
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    marks = brute_passages(texts, 50)
+    got = {r["doc_id"]: r["n_repeated_words"] for r in suffix_dedup.repeated_bytes(table, gathered=gathered, words=50).collect()}
+    assert got == {i: sum(m) for i, m in enumerate(marks)}
+    want = {i: t if not any(m) else without(t, m) for i, (t, m) in enumerate(zip(texts, marks, strict=True))}
+    left = {r["doc_id"]: r["text"] for r in suffix_dedup.without_passages(table, gathered=gathered).collect()}
+    assert left == {i: t for i, t in want.items() if not any(marks[i]) or t.split()}
+
+
+def test_passages_of_given_documents(docs, odd_docs, no_docs):
+    read = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    marks = brute_passages([t for _, t in read], 50)
+    got = suffix_dedup.repeated_bytes(docs, words=50).select("doc_id", "n_repeated_words")
+    assert order(rows(got)) == order([(i, sum(m)) for (i, _), m in zip(read, marks, strict=True)])
+    odd = suffix_dedup.without_passages(odd_docs)
+    assert odd.columns == odd_docs.columns and {r["doc_id"] for r in odd.collect()} >= {0, 1, 2, 3, 4, 10, None}
+    assert {r["doc_id"]: r["text"] for r in odd.where("doc_id in (6, 7, 8)").collect()} == {8: " end"}
+    assert suffix_dedup.without_passages(no_docs).count() == 0
+
+
+def test_words_of_pieces():
+    raw = passage_texts()[0].encode() * 20
+    assert (suffix_dedup.word_hashes(raw, 37) == suffix_dedup.word_hashes(raw)).all()
+    assert len(suffix_dedup.word_hashes(raw)) == len(suffix_dedup.word_places(raw)[0]) == len(raw.split())
+
+
+def test_runs_of_a_letter_are_few_rows():
+    import pyarrow as pa
+
+    for text, most in (("a" * 1_000_000, 30), ("ab" * 300_000, 30), ("abcdefghij" * 50_000, 30)):
+        batch = pa.RecordBatch.from_pydict({"digest": [b"d" * 16], "text": [text]})
+        assert sum(b.num_rows for b in suffix_dedup.anchor_rows(iter([batch]), suffix_dedup.Depth())) <= most
