@@ -16,7 +16,7 @@ from terraql.llm.language_id import identified
 from terraql.llm.mixing import mixed_documents
 from terraql.llm.shared import shared_dir
 from terraql.llm.simhash import keep_one
-from terraql.llm.suffix_dedup import without_repeats
+from terraql.llm.suffix_dedup import without_passages
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_repeats(docs)
+    return without_passages(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
