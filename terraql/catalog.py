@@ -6,11 +6,13 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraql.errors import UNDEFINED_FUNCTION, UNDEFINED_SCHEMA, UNDEFINED_TABLE, EngineError
+from terraql import dialect
+from terraql.errors import CANNOT_CONVERT, NOT_NULL_VIOLATION, UNDEFINED_FUNCTION, UNDEFINED_SCHEMA, UNDEFINED_TABLE, UNIQUE_VIOLATION, EngineError
 
 
 @dataclass
@@ -18,6 +20,30 @@ class TableDef:
     schema: T.StructType
     key: tuple[str, ...] = ()
     single_row: bool = False
+    required: list[str] = field(default_factory=list)
+    values: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def checked(self, rows: DataFrame) -> DataFrame:
+        """Rows in the table's columns and types, missing ones null; a value that a definition forbids is an error when it is read.
+
+        Nothing runs for that: NOT NULL, key columns and enumerations are expressions around the columns.
+        """
+        out = []
+        for f in self.schema:
+            value = (F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType)
+            if f.name in self.values:
+                wrong = F.concat(F.lit(f"[{CANNOT_CONVERT}] {f.name} can't be "), value)
+                value = F.when(value.isNull() | value.isin(*self.values[f.name]), value).otherwise(F.raise_error(wrong).cast(f.dataType))
+            if f.name in self.required or f.name in self.key:
+                value = F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"[{NOT_NULL_VIOLATION}] {f.name} is null")).cast(f.dataType))
+            out.append(value.alias(f.name))
+        return rows.select(*out)
+
+    def check_key(self, name: str, rows: DataFrame) -> None:
+        """An error if two rows share a key, or a table of one row has more; one aggregation over the key."""
+        twice = rows.groupBy(*self.key).count().where("count > 1").limit(1).collect() if self.key else []
+        if twice or (self.single_row and len(rows.limit(2).collect()) > 1):
+            raise EngineError(UNIQUE_VIOLATION, f"{name} has two rows with the key {tuple(twice[0])[:-1] if twice else ()}")
 
 
 @dataclass
@@ -33,9 +59,10 @@ class Template:
     views: dict[str, str] = field(default_factory=dict)
     queries: dict[str, str] = field(default_factory=dict)
     functions: dict[str, str] = field(default_factory=dict)
+    options: dict[str, str] = field(default_factory=dict)
 
-    def table(self, name: str, schema: str, key: tuple[str, ...] = (), single_row: bool = False) -> "Template":
-        self.tables[name] = TableDef(T._parse_datatype_string(schema), key, single_row)
+    def table(self, name: str, schema: str, key: tuple[str, ...] = (), single_row: bool = False, required: list[str] | None = None, values: dict[str, tuple[str, ...]] | None = None) -> "Template":
+        self.tables[name] = TableDef(T._parse_datatype_string(schema), key, single_row, required or [], values or {})
         return self
 
     def struct(self, name: str, schema: str) -> "Template":
@@ -89,18 +116,18 @@ class Template:
         return out
 
     def to_json(self) -> str:
-        tables = {n: {"schema": t.schema.jsonValue(), "key": list(t.key), "single_row": t.single_row} for n, t in self.tables.items()}
-        return json.dumps({"name": self.name, "version": self.version, "tables": tables, "structs": {n: s.jsonValue() for n, s in self.structs.items()}, "enums": self.enums, "indexes": self.indexes, "views": self.views, "queries": self.queries, "functions": self.functions})
+        tables = {n: {"schema": t.schema.jsonValue(), "key": list(t.key), "single_row": t.single_row, "required": t.required, "values": t.values} for n, t in self.tables.items()}
+        return json.dumps({"name": self.name, "version": self.version, "tables": tables, "structs": {n: s.jsonValue() for n, s in self.structs.items()}, "enums": self.enums, "indexes": self.indexes, "views": self.views, "queries": self.queries, "functions": self.functions, "options": self.options})
 
     @classmethod
     def from_json(cls, text: str) -> "Template":
         x = json.loads(text)
         out = cls(x["name"], x["version"])
-        out.tables = {n: TableDef(T.StructType.fromJson(t["schema"]), tuple(t["key"]), t["single_row"]) for n, t in x["tables"].items()}
+        out.tables = {n: TableDef(T.StructType.fromJson(t["schema"]), tuple(t["key"]), t["single_row"], t["required"], {k: tuple(v) for k, v in t["values"].items()}) for n, t in x["tables"].items()}
         out.structs = {n: T.StructType.fromJson(s) for n, s in x["structs"].items()}
         out.enums = {n: tuple(v) for n, v in x["enums"].items()}
         out.indexes = {n: tuple(v) for n, v in x["indexes"].items()}
-        out.views, out.queries, out.functions = x["views"], x["queries"], x["functions"]
+        out.views, out.queries, out.functions, out.options = x["views"], x["queries"], x["functions"], x["options"]
         return out
 
 
@@ -129,23 +156,51 @@ class Catalog:
     def drop_schema(self, database: str, name: str) -> None:
         self.databases.get(database, {}).pop(name, None)
 
-    def bind(self, database: str, schema: str, read: Callable[[str], DataFrame]) -> None:
-        """Temporary views and functions for all that the schema's template has; missing columns are null."""
-        template = self.templates[self.databases[database][schema]]
+    def drop_template(self, name: str) -> None:
+        self.templates.pop(name, None)
+
+    def template_of(self, database: str, schema: str) -> Template:
+        if schema not in self.databases.get(database, {}):
+            raise EngineError(UNDEFINED_SCHEMA, f"no schema {database}/{schema}")
+        return self.templates[self.databases[database][schema]]
+
+    def bind(self, database: str, schema: str, read: Callable[[str], DataFrame], check_keys: bool = False) -> None:
+        """Temporary views and functions for all that the schema's template has; missing columns are null.
+
+        A null or a value that the template forbids is an error when it is read; keys are checked now if asked for.
+        """
+        template = self.template_of(database, schema)
         for name, table in template.tables.items():
-            rows = read(name)
-            rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema]).createOrReplaceTempView(name)
-        for text in template.functions.values():
-            self.spark.sql(text)
-        for name, text in template.views.items():
-            self.spark.sql(text).createOrReplaceTempView(name)
+            rows = table.checked(read(name))
+            if check_keys:
+                table.check_key(name, rows)
+            rows.createOrReplaceTempView(name)
+        # views and functions may use each other in any order
+        open_ = [(self._function, name, text) for name, text in template.functions.items()] + [(self._view, name, text) for name, text in template.views.items()]
+        while open_:
+            left = []
+            for make, name, text in open_:
+                try:
+                    make(name, text)
+                except (AnalysisException, EngineError) as e:
+                    left.append((make, name, text))
+                    fault = e
+            if len(left) == len(open_):
+                raise fault
+            open_ = left
+
+    def _function(self, name: str, text: str) -> None:
+        self.spark.sql(text)
+
+    def _view(self, name: str, text: str) -> None:
+        dialect.sql(self.spark, text).createOrReplaceTempView(name)
 
     def run(self, database: str, schema: str, query: str) -> DataFrame:
         """A stored query by its name."""
-        template = self.templates[self.databases[database][schema]]
+        template = self.template_of(database, schema)
         if query not in template.queries:
             raise EngineError(UNDEFINED_FUNCTION, f"no stored query {query}")
-        return self.spark.sql(template.queries[query])
+        return dialect.sql(self.spark, template.queries[query])
 
     def system_tables(self) -> dict[str, DataFrame]:
         """databases, schemas, templates, tables, columns and indexes."""

@@ -22,7 +22,8 @@ def bucket_offset(value: Column) -> Column:
 
 
 def bucket_number(value: Column) -> Column:
-    return F.floor(value / F.lit(float(SPAN))).cast("bigint")
+    # exact also where a double isn't: the quotient of two whole numbers is asked for in SQL's words
+    return F.call_function("div", value - F.pmod(value, F.lit(SPAN)), F.lit(SPAN))
 
 
 def construct(df: DataFrame, value: str, *groups: str, name: str = "bitmap") -> DataFrame:

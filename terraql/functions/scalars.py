@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraql.errors import BAD_ESCAPE_CHARACTER, BAD_ESCAPE_SEQUENCE, WRONG_OBJECT_TYPE, EngineError
+from terraql.errors import BAD_ESCAPE_CHARACTER, BAD_ESCAPE_SEQUENCE, INVALID_RANGE, WRONG_OBJECT_TYPE, EngineError
 
 INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
 
@@ -40,7 +40,8 @@ def int_divide(left: str, right: str) -> Column:
 
 def to_integer(value: Column, kind: str = "int") -> Column:
     """CAST of a floating number: rounded half up, an error beyond the range."""
-    return F.floor(value + F.lit(0.5)).cast(kind)
+    part = F.pmod(value.cast("double"), F.lit(1.0))  # exact, unlike a sum with a half
+    return (value - part + F.when(part >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))).cast(kind)
 
 
 def subscript(array: Column, place: Column | int) -> Column:
@@ -139,3 +140,38 @@ def half(value: Column) -> Column:
     step = F.pow(F.lit(2.0), exponent - 10)
     rounded = F.rint(x / step) * step
     return F.when(F.abs(rounded) > 65504, F.signum(x) * F.lit(float("inf"))).otherwise(rounded).cast("float")
+
+
+def of_type(value: Column, kind: str) -> Column:
+    """Whether a value of varying type (VARIANT) is of one now; NULL for NULL."""
+    return F.schema_of_variant(value) == F.lit(kind.upper())
+
+
+def map_matches(entries: Column, key: Callable[[Column], Column] | None = None, value: Callable[[Column], Column] | None = None, names: tuple[str, str] = ("key", "value")) -> Column:
+    """Whether an entry's key and value meet both conditions; entries are an array of structs with two named fields, a map's by F.map_entries.
+
+    A condition that is left out holds for all; at least one has to be there.
+    """
+    tests = [(test, name) for test, name in ((key, names[0]), (value, names[1])) if test is not None]
+    if not tests:
+        raise EngineError(INVALID_RANGE, "a key or a value has to be matched")
+    return F.exists(entries, lambda e: reduce(lambda a, b: a & b, [F.coalesce(test(e[name]), F.lit(False)) for test, name in tests]))
+
+
+def throws(message: str) -> Column:
+    """An error as soon as it is evaluated."""
+    return F.raise_error(F.lit(message))
+
+
+#: Strengths of comparison: base letters, accents too, case too.
+STRENGTHS = {1: "_CI_AI", 2: "_CI", 3: ""}
+
+
+def collated(value: Column, locale: str | None = None, strength: int = 3) -> Column:
+    """A string that is compared, grouped and sorted by a locale's rules, of the root's without a locale."""
+    return F.collate(value, f"{locale or 'UNICODE'}{STRENGTHS[strength]}")
+
+
+def bytes_start(value: Column, prefix: bytes) -> Column:
+    """Whether bytes begin so."""
+    return F.substring(value, 1, len(prefix)) == F.lit(prefix)

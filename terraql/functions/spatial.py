@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +53,54 @@ def z_order(row: Column, column: Column, bits: int = 16) -> Column:
         for x, at in ((column, 2 * b), (row, 2 * b + 1)):
             out = out.bitwiseOR(F.shiftleft(F.shiftright(x.cast("bigint"), b).bitwiseAND(F.lit(1).cast("bigint")), at))
     return out
+
+
+#: What readers of points give.
+POINT = "struct<lat:double,lon:double>"
+NUMBER = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
+
+
+def _point(lat: Column, lon: Column) -> Column:
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
+def from_geojson(text: Column) -> Column:
+    """A point from ``{"type": "Point", "coordinates": [lon, lat]}``; NULL for anything else."""
+    read = F.from_json(text, "type string, coordinates array<double>")
+    at = read["coordinates"]
+    return F.when(read["type"] == "Point", _point(F.get(at, F.lit(1)), F.get(at, F.lit(0))))
+
+
+def from_wkt(text: Column) -> Column:
+    """A point from ``POINT (lon lat)``; NULL for anything else."""
+    form = rf"(?i)^\s*POINT\s*Z?\s*\(\s*{NUMBER}\s+{NUMBER}(?:\s+{NUMBER})?\s*\)\s*$"
+    lon, lat = (F.regexp_extract(text, form, i).try_cast("double") for i in (1, 2))
+    return _point(lat, lon)
+
+
+def to_wkb() -> Callable:
+    """Points as 21 bytes: little-endian, type 1, longitude, latitude."""
+
+    @F.arrow_udf("binary")
+    def packed(lat: pa.Array, lon: pa.Array) -> pa.Array:
+        return pa.array([None if a is None or b is None else b"\x01\x01\x00\x00\x00" + np.array([b, a], "<f8").tobytes() for a, b in zip(lat.to_pylist(), lon.to_pylist(), strict=True)], pa.binary())
+
+    return packed
+
+
+def from_wkb() -> Callable:
+    """Points from their binary form in either byte order; NULL for anything else."""
+
+    @F.arrow_udf(POINT)
+    def read(column: pa.Array) -> pa.Array:
+        out = []
+        for x in column.to_pylist():
+            order = {0: ">", 1: "<"}.get(x[0]) if x is not None and len(x) >= 21 else None
+            if order is None or np.frombuffer(x, order + "u4", 1, 1)[0] % 1000 != 1:
+                out.append(None)
+            else:
+                lon, lat = np.frombuffer(x, order + "f8", 2, 5).tolist()
+                out.append({"lat": lat, "lon": lon})
+        return pa.array(out, pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
+
+    return read

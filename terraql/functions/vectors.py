@@ -34,10 +34,11 @@ def euclidean_distance(left: Column, right: Column) -> Column:
 
 
 def cosine_distance(left: Column, right: Column) -> Column:
-    """1 less the cosine; infinite if either is zero, not a number if either isn't finite."""
-    norms = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
-    bad = F.isnan(norms) | (norms == INFINITE)
-    return F.when(bad, F.lit(NAN)).when(norms == 0, F.lit(INFINITE)).otherwise(F.lit(1.0) - dot(left, right) / F.when(norms == 0, F.lit(1.0)).otherwise(norms))
+    """1 less the cosine; infinite if either is zero, else not a number if either or their product isn't finite."""
+    one, two, both = dot(left, left), dot(right, right), dot(left, right)
+    zero = (one == 0) | (two == 0)
+    bad = F.isnan(F.lit(0.0) * one * two * both)
+    return F.when(zero, F.lit(INFINITE)).when(bad, F.lit(NAN)).otherwise(F.lit(1.0) - both / F.when(zero, F.lit(1.0)).otherwise(F.sqrt(one) * F.sqrt(two)))
 
 
 METRICS = {"euclidean": euclidean_distance, "euclidean_square": euclidean_square_distance, "cosine": cosine_distance, "dot_product": dot_product_distance}

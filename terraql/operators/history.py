@@ -34,5 +34,5 @@ def scrub(index: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def key_sizes(df: DataFrame, groups: Sequence[str], size) -> DataFrame:
-    """Number, total, mean and median of sizes for each prefix of a key."""
-    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total"), F.avg(size).alias("mean"), F.percentile_approx(size, 0.5, 10_000).alias("p50"))
+    """Number, total, mean and median of sizes for each prefix of a key; the median keeps a count for each distinct size."""
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total"), F.avg(size).alias("mean"), F.percentile(size, 0.5).alias("p50"))

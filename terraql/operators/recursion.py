@@ -6,11 +6,11 @@ rounds it is written to the shared checkpoint folder, so that plans stay short a
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraql.sources.tables import shared_folder
+
 #: Rounds between checkpoints, and between those that also write what was found; a multiple.
 ROUNDS, MERGED = 8, 64
 
@@ -18,10 +18,7 @@ ROUNDS, MERGED = 8, 64
 def _kept(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="terraql-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

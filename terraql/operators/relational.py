@@ -53,6 +53,7 @@ def drop_adjacent(df: DataFrame, order: Sequence[str], values: Sequence[str], gr
 
 def or_else(first: DataFrame, second: DataFrame) -> DataFrame:
     """The first if it has rows, else the second; decided within the plan."""
+    # only the first row is looked for: a scan of the first branch that stops there
     some = first.limit(1).agg(F.count(F.lit(1)).alias("_n"))
     rest = second.join(F.broadcast(some), F.col("_n") == 0).drop("_n")  # one row, so this is no growing product
     return first.unionByName(rest)
@@ -84,3 +85,16 @@ def synthetic_join(sides: Sequence[tuple[str, DataFrame]], on: Sequence[tuple[st
     for (name, df), (a, b) in zip(sides[1:], on, strict=True):
         out = out.join(df.select(F.struct("*").alias(name)), F.col(a) == F.col(b))
     return out
+
+
+def intersect_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left rows whose key is on the right; of the right side each key is moved once. Spark adds a Bloom filter where that pays."""
+    return left.join(right.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def intersect_legs(legs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Keys that all legs have, with the columns of every leg; other columns than the keys have to differ by name."""
+    out = legs[0]
+    for leg in legs[1:]:
+        out = out.join(leg, list(keys))
+    return out

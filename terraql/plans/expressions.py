@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -162,14 +162,8 @@ def _up_to(t: Tables) -> None:
     t.orders.createOrReplaceTempView("orders")
 
 
-@query("SELECT o_orderkey, unnest(range(1, o_orderkey % 4 + 1)) AS i FROM orders WHERE o_orderkey < 100")
-def external_table_function(t: Tables) -> DataFrame:
-    _up_to(t)
-    return t.spark.sql("SELECT o_orderkey, i FROM orders, LATERAL up_to(o_orderkey % 4) WHERE o_orderkey < 100")
-
-
 @query("SELECT o_orderkey, unnest(range(1, o_orderkey % 4 + 1)) AS i FROM orders")
-def external_table_function_whole(t: Tables) -> DataFrame:
+def external_table_function(t: Tables) -> DataFrame:
     _up_to(t)
     return t.spark.sql("SELECT o_orderkey, i FROM orders, LATERAL up_to(o_orderkey % 4)")
 
@@ -361,13 +355,9 @@ def stored_query(t: Tables) -> DataFrame:
     return made.run("/shop", "main", "regulars")
 
 
-def _shared(t: Tables) -> str:
-    return t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="terraql-")
-
-
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def copy_out_and_in(t: Tables) -> DataFrame:
-    path = f"{_shared(t)}/copy-of-nation"
+    path = f"{tables.shared_folder(t.spark)}/copy-{uuid.uuid4().hex}"
     tables.export(t.nation, path, "n_regionkey")
     return tables.load(t.spark, path, "n_nationkey int, n_name string, n_regionkey int")
 

@@ -90,14 +90,8 @@ def _lines(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS place FROM lineitem WHERE l_orderkey < 200")
-def unnest_at(t: Tables) -> DataFrame:
-    rows = _lines(Tables(t.spark, t.folder)).where("l_orderkey < 200")
-    return relational.unnest(rows, "lines", "line", ordinality="place").select("l_orderkey", "line.l_linenumber", "line.l_partkey", "place")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS place FROM lineitem")
-def unnest_at_whole(t: Tables) -> DataFrame:
+def unnest_at(t: Tables) -> DataFrame:
     return relational.unnest(_lines(t), "lines", "line", ordinality="place").select("l_orderkey", "line.l_linenumber", "line.l_partkey", "place")
 
 
@@ -246,15 +240,8 @@ def join_anti(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.where("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT o_orderkey, most FROM orders, LATERAL (SELECT max(l_quantity) AS most FROM lineitem WHERE l_orderkey = o_orderkey) AS x WHERE o_orderkey < 300")
-def join_lateral(t: Tables) -> DataFrame:
-    t.orders.createOrReplaceTempView("orders")
-    t.lineitem.createOrReplaceTempView("lineitem")
-    return dialect.sql(t.spark, "SELECT o_orderkey, most FROM orders, LATERAL (SELECT max(l_quantity) AS most FROM lineitem WHERE l_orderkey = o_orderkey) AS x WHERE o_orderkey < 300")
-
-
 @query("SELECT o_orderkey, most FROM orders, LATERAL (SELECT max(l_quantity) AS most FROM lineitem WHERE l_orderkey = o_orderkey) AS x")
-def join_lateral_whole(t: Tables) -> DataFrame:
+def join_lateral(t: Tables) -> DataFrame:
     return dialect.sql(t.spark, "SELECT o_orderkey, most FROM orders, LATERAL (SELECT max(l_quantity) AS most FROM lineitem WHERE l_orderkey = o_orderkey) AS x", orders=t.orders, lineitem=t.lineitem)
 
 
@@ -326,14 +313,8 @@ def bitmap_composed(t: Tables) -> DataFrame:
     return bitmaps.positions(both.select("bucket_offset", joined.alias("bitmap"))).select("value")
 
 
-@query("SELECT l_orderkey, array_to_string(list_sort(list(l_linenumber)), ',') AS numbers FROM lineitem WHERE l_orderkey < 100 GROUP BY l_orderkey")
-def array_aggregate(t: Tables) -> DataFrame:
-    numbers = F.array_join(F.array_sort(F.collect_list("l_linenumber")).cast("array<string>"), ",")
-    return t.lineitem.where("l_orderkey < 100").groupBy("l_orderkey").agg(numbers.alias("numbers"))
-
-
 @query("SELECT l_orderkey, array_to_string(list_sort(list(l_linenumber)), ',') AS numbers FROM lineitem GROUP BY l_orderkey")
-def array_aggregate_whole(t: Tables) -> DataFrame:
+def array_aggregate(t: Tables) -> DataFrame:
     numbers = F.array_join(F.array_sort(F.collect_list("l_linenumber")).cast("array<string>"), ",")
     return t.lineitem.groupBy("l_orderkey").agg(numbers.alias("numbers"))
 
@@ -348,10 +329,10 @@ def groups_by_extremum(t: Tables) -> DataFrame:
     return ranking.permuted(t.customer, ["c_mktsegment"], "c_acctbal")
 
 
-@query("SELECT o_orderpriority, count(*) AS n, sum(octet_length(encode(o_orderstatus || o_orderpriority)))::BIGINT AS total, round(avg(octet_length(encode(o_orderstatus || o_orderpriority))), 6) AS mean FROM orders GROUP BY o_orderpriority")
+@query("SELECT o_orderpriority, count(*) AS n, sum(octet_length(encode(o_orderstatus || o_orderpriority)))::BIGINT AS total, round(avg(octet_length(encode(o_orderstatus || o_orderpriority))), 6) AS mean, quantile_cont(octet_length(encode(o_orderstatus || o_orderpriority)), 0.5)::DOUBLE AS p50 FROM orders GROUP BY o_orderpriority")
 def key_sizes(t: Tables) -> DataFrame:
     out = history.key_sizes(t.orders, ["o_orderpriority"], F.octet_length(F.concat("o_orderstatus", "o_orderpriority")))
-    return out.select("o_orderpriority", "n", "total", F.round("mean", 6).alias("mean"))
+    return out.select("o_orderpriority", "n", "total", F.round("mean", 6).alias("mean"), "p50")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus) AS g FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -361,7 +342,8 @@ def cube(t: Tables) -> DataFrame:
 
 @query("SELECT o_custkey, sum(o_totalprice) > 1000000 AS large, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY o_custkey")
 def aggregates_merged(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg((F.sum("o_totalprice") > 1000000).alias("large"), F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))
+    stored = t.orders.groupBy("o_custkey", "o_orderstatus", "o_orderpriority").agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))
+    return stored.groupBy("o_custkey").agg((F.sum("total") > 1000000).alias("large"), F.sum("n").alias("n"), F.max("last").alias("last"))
 
 
 # --- ranks
@@ -496,37 +478,23 @@ def recursion_by_level(t: Tables) -> DataFrame:
     return recursion.level_order(recursion.descend(_edges(t), t.spark.sql("SELECT 1L AS node"), "parent", "child")).select("node", "level")
 
 
-@query(TREE + "SELECT node, level, row_number() OVER (ORDER BY path) AS place FROM walk WHERE level <= 6")
-def recursion_preorder(t: Tables) -> DataFrame:
-    found = recursion.descend(_edges(t), t.spark.sql("SELECT 1L AS node"), "parent", "child", most=6)
-    order = Window.orderBy("path")  # a tree of at most 127 nodes
-    return found.select("node", "level", F.row_number().over(order).cast("bigint").alias("place"))
-
-
-@query(TREE + "SELECT node, row_number() OVER (ORDER BY list_append(path, 9223372036854775807)) AS place FROM walk WHERE level <= 6")
-def recursion_postorder(t: Tables) -> DataFrame:
-    found = recursion.descend(_edges(t), t.spark.sql("SELECT 1L AS node"), "parent", "child", most=6)
-    order = Window.orderBy(F.concat("path", F.array(F.lit(2**63 - 1))))
-    return found.select("node", F.row_number().over(order).cast("bigint").alias("place"))
-
-
 @query(TREE + "SELECT node, level FROM walk ORDER BY path")
-def recursion_preorder_whole(t: Tables) -> DataFrame:
+def recursion_preorder(t: Tables) -> DataFrame:
     return recursion.preorder(recursion.descend(_edges(t), t.spark.sql("SELECT 1L AS node"), "parent", "child")).select("node", "level")
 
 
 @query(TREE + "SELECT node, level FROM walk ORDER BY list_append(path, 9223372036854775807)")
-def recursion_postorder_whole(t: Tables) -> DataFrame:
+def recursion_postorder(t: Tables) -> DataFrame:
     return recursion.postorder(recursion.descend(_edges(t), t.spark.sql("SELECT 1L AS node"), "parent", "child")).select("node", "level")
 
 
-WIDE = """WITH RECURSIVE edges AS (SELECT (p_partkey + 1) // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey BETWEEN 2 AND 10000),
+WIDE = """WITH RECURSIVE edges AS (SELECT (p_partkey + 1) // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey > 1),
 walk AS (SELECT 1::BIGINT AS node, 0 AS level, [1::BIGINT] AS path UNION ALL SELECT child, level + 1, list_append(path, child) FROM walk JOIN edges ON parent = node) """
 
 
 def _wide(t: Tables) -> DataFrame:
-    """Up to 10,000 nodes, three below each."""
-    edges = t.part.where(F.col("p_partkey").between(2, 10_000)).select(F.expr("(p_partkey + 1) div 3").alias("parent"), F.col("p_partkey").alias("child"))
+    """All parts, three below each."""
+    edges = t.part.where("p_partkey > 1").select(F.expr("(p_partkey + 1) div 3").alias("parent"), F.col("p_partkey").alias("child"))
     return recursion.descend(edges, t.spark.sql("SELECT 1L AS node"), "parent", "child")
 
 
@@ -540,25 +508,6 @@ def recursion_wide_preorder(t: Tables) -> DataFrame:
     return recursion.preorder(_wide(t)).select("node", "level")
 
 
-WIDE_WHOLE = WIDE.replace("p_partkey BETWEEN 2 AND 10000", "p_partkey > 1")
-
-
-def _wide_whole(t: Tables) -> DataFrame:
-    """All parts, three below each."""
-    edges = t.part.where("p_partkey > 1").select(F.expr("(p_partkey + 1) div 3").alias("parent"), F.col("p_partkey").alias("child"))
-    return recursion.descend(edges, t.spark.sql("SELECT 1L AS node"), "parent", "child")
-
-
-@query(WIDE_WHOLE + "SELECT node, level FROM walk")
-def recursion_wide_by_level_whole(t: Tables) -> DataFrame:
-    return recursion.level_order(_wide_whole(t)).select("node", "level")
-
-
-@query(WIDE_WHOLE + "SELECT node, level FROM walk ORDER BY path")
-def recursion_wide_preorder_whole(t: Tables) -> DataFrame:
-    return recursion.preorder(_wide_whole(t)).select("node", "level")
-
-
 @query("WITH RECURSIVE up AS (SELECT 173::BIGINT AS node UNION ALL SELECT node // 2 FROM up WHERE node > 1) SELECT node FROM up")
 def recursion_ancestors(t: Tables) -> DataFrame:
     return dialect.sql(t.spark, "WITH RECURSIVE up(node) AS (SELECT 173L UNION ALL SELECT node div 2 FROM up WHERE node > 1) SELECT node FROM up")
@@ -626,13 +575,8 @@ def current_versions(t: Tables) -> DataFrame:
     return history.current(log, ["user_id"], "event_id", "gone").select("user_id", "event_id", "value")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 50")
-def changes_after_version(t: Tables) -> DataFrame:
-    return history.changes(t.events.withColumnRenamed("event_id", history.VERSION), 500).limit(50).select(F.col(history.VERSION).alias("event_id"), "user_id")
-
-
 @query("SELECT event_id, user_id FROM events WHERE event_id > 500")
-def changes_after_version_whole(t: Tables) -> DataFrame:
+def changes_after_version(t: Tables) -> DataFrame:
     return history.changes(t.events.withColumnRenamed("event_id", history.VERSION), 500).select(F.col(history.VERSION).alias("event_id"), "user_id")
 
 
