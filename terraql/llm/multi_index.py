@@ -15,13 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraql.llm.shared import cut
-from terraql.llm.vectors import blocks, finite, matrices, queries_of
+from terraql.llm.vectors import appended, blocks, finite, matrices, queries_of
 
-#: Centroids of each half, rows they are fitted on, queries of a block, rows held at a time.
-CENTROIDS, SAMPLE, QUERIES, ROWS = 64, 8192, 2048, 1 << 16
-#: Share of all rows in the cells that a query visits; measured recall in the README.
+#: Centroids of each half, at least and at most; rows they are fitted on, queries of a block, rows held at a time.
+CENTROIDS, SAMPLE, QUERIES, ROWS = (64, 1024), 1 << 15, 2048, 1 << 16
+#: Share of all rows in the cells that a query visits with the least centroids; it falls with more. Measured recall in the README.
 SHARE = 0.5
+#: Bits of the visited cells of a block of queries, neighbouring centroids of a half that the heap takes together.
+VISITED, SIDE = 1 << 28, 16
+
+
+def sized(n: int) -> tuple[int, float]:
+    """Centroids of each half for n rows, about the root of n / 3, and the share of rows to visit, which falls with their cube root."""
+    k = 1 << int(np.clip(round(np.log2(max(n, 1) ** 0.5 / 1.7)), *np.log2(CENTROIDS).astype(int)))
+    return k, SHARE * (CENTROIDS[0] / k) ** (1 / 3)
 
 
 def k_means(points: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -41,24 +48,31 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
-    """Cells (row-major) by rising first + second until they hold ``wanted`` rows; sizes has the rows of each cell."""
+    """Cells (row-major) by rising first + second until they hold ``wanted`` rows; sizes has the rows of each cell.
+
+    The heap holds squares of neighbours in the two orders by their least sum; what lies above the sum that it ends with is cut off.
+    """
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    one, two = first[a].tolist(), second[b].tolist()
-    cells = (a[:, None] * len(b) + b[None, :]).tolist()
-    rows = sizes[a[:, None] * len(b) + b[None, :]].tolist()
-    heap, out, held = [(one[0] + two[0], 0, 0)], [], 0
-    while heap and held < wanted:
-        _, i, j = heap[0]
-        if rows[i][j]:
-            out.append(cells[i][j])
-            held += rows[i][j]
-        if j + 1 < len(two):
-            heapq.heapreplace(heap, (one[i] + two[j + 1], i, j + 1))
-        else:
-            heapq.heappop(heap)
-        if j == 0 and i + 1 < len(one):
-            heapq.heappush(heap, (one[i + 1] + two[0], i + 1, 0))
-    return out
+    one, two = first[a], second[b]
+    heap, cells, sums, rows, held, limit = [(one[0] + two[0], 0, 0)], [], [], [], 0, np.inf
+    while heap and heap[0][0] <= limit:
+        _, i, j = heapq.heappop(heap)
+        own = (a[i : i + SIDE, None] * len(b) + b[None, j : j + SIDE]).ravel()
+        full = np.flatnonzero(sizes[own])
+        cells.append(own[full])
+        sums.append((one[i : i + SIDE, None] + two[None, j : j + SIDE]).ravel()[full])
+        rows.append(sizes[cells[-1]])
+        held += int(rows[-1].sum())
+        if j + SIDE < len(two):
+            heapq.heappush(heap, (one[i] + two[j + SIDE], i, j + SIDE))
+        if j == 0 and i + SIDE < len(one):
+            heapq.heappush(heap, (one[i + SIDE] + two[0], i + SIDE, 0))
+        if held >= wanted and limit == np.inf:  # no cell beyond this sum can be needed
+            order = np.argsort(every := np.concatenate(sums), kind="stable")
+            limit = every[order][np.searchsorted(np.cumsum(np.concatenate(rows)[order]), wanted)]
+    order = np.argsort(np.concatenate(sums), kind="stable")
+    before = np.cumsum(np.concatenate(rows)[order]) - np.concatenate(rows)[order]
+    return np.concatenate(cells)[order][before < wanted].tolist()
 
 
 class MultiIndex:
@@ -73,11 +87,13 @@ class MultiIndex:
         return nearest(x[:, : self.half], self.first) * len(self.second) + nearest(x[:, self.half :], self.second)
 
     def visits(self, queries: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
-        """For each query, which cells it visits. Distances are negative inner products, as the ranking is."""
-        out = np.zeros((len(queries), self.cells), bool)
+        """For each query, a bit for each cell: whether it visits it. Distances are negative inner products, as the ranking is."""
+        out = np.zeros((len(queries), (self.cells + 7) // 8), np.uint8)
         one, two = -queries[:, : self.half] @ self.first.T, -queries[:, self.half :] @ self.second.T
         for i in range(len(queries)):
-            out[i, walk(one[i], two[i], sizes, wanted)] = True
+            own = np.zeros(self.cells, bool)
+            own[walk(one[i], two[i], sizes, wanted)] = True
+            out[i] = np.packbits(own)
         return out
 
 
@@ -86,12 +102,11 @@ def dots(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1)
 
 
-def rerank(batches: Iterator[pa.RecordBatch], size: int, ids: np.ndarray, queries: np.ndarray, visits: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (vec_id, v, cell) to the k nearest rows of each query in the cells that it visits."""
+def rerank(batches: Iterator[pa.RecordBatch], size: int, ids: np.ndarray, queries: np.ndarray, packed: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (vec_id, v, cell) to the k nearest rows of each query in the cells whose bits it has."""
     best_id = [np.zeros(0, np.int64) for _ in ids]
     best_at = [np.zeros(0) for _ in ids]
     least = np.full(len(ids), -np.inf)
-    packed = np.packbits(visits, axis=1)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def settle() -> None:
@@ -145,12 +160,13 @@ def rerank(batches: Iterator[pa.RecordBatch], size: int, ids: np.ndarray, querie
     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([np.zeros(0, np.int64), *best_id])), pa.array(np.concatenate([np.zeros(0), *best_at]))], ["query_id", "vec_id", "score"])
 
 
-def nearest_neighbours(vectors: DataFrame, modulus: int, k: int = 20, share: float = SHARE, centroids: int = CENTROIDS, sample: int = SAMPLE, seed: int = 42, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, modulus: int, k: int = 20, share: float | None = None, centroids: int | None = None, sample: int = SAMPLE, seed: int = 42, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id the modulus divides, the k nearest rows found.
 
     Nearest is the largest inner product, in double precision on the original vectors; ties go to the smaller id.
     Centroids are fitted on the ``sample`` rows of the smallest hashes of their ids; every row is indexed, and
-    a query visits cells until they hold ``share`` of all rows and at least 4 * k (all rows, if fewer). Candidates
+    a query visits cells until they hold ``share`` of all rows and at least 4 * k (all rows, if fewer). How many centroids
+    a half has and what share is visited follow the number of rows (``sized``) unless they are given. Candidates
     are all rows of another id and the same number of components. Rows with a null id, and vectors null, empty,
     zero or with a null or non-finite component take no part. Rows that repeat an id are candidates each, and
     one query: that of the smallest vector. Vectors of another length than the commonest (ties: the
@@ -174,8 +190,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _of_length(index: DataFrame, size: int, n: int, modulus: int, k: int, share: float, centroids: int, sample: int, seed: int) -> DataFrame:
+def _of_length(index: DataFrame, size: int, n: int, modulus: int, k: int, share: float | None, centroids: int | None, sample: int, seed: int) -> DataFrame:
     spark = index.sparkSession
+    own = sized(n)
+    centroids, share = centroids or own[0], own[1] if share is None else share
     picked = index.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toPandas()
     made = spark.sparkContext.broadcast(MultiIndex(np.stack(picked["v"].to_list()), centroids, seed))
 
@@ -190,18 +208,18 @@ def _of_length(index: DataFrame, size: int, n: int, modulus: int, k: int, share:
     sizes = np.zeros(made.value.cells, np.int64)
     for row in celled.groupBy("cell").count().toLocalIterator():  # at most centroids**2 rows
         sizes[row["cell"]] = row["count"]
-    wanted, parts = min(n, max(4 * k, int(share * n))), []
-    for ids, rows in blocks(queries_of(index, modulus), QUERIES):
+    wanted = min(n, max(4 * k, int(share * n)))
+
+    def found(ids: np.ndarray, rows: list[np.ndarray]) -> DataFrame:
         queries = np.stack(rows)
-        seen = _visits(spark, made, ids, queries, sizes, wanted)
-        held = spark.sparkContext.broadcast((ids, queries, seen))
-        near = celled.mapInArrow(lambda b, held=held: rerank(b, size, *held.value, k), "query_id long, vec_id long, score double")
+        held = spark.sparkContext.broadcast((ids, queries, _visits(spark, made, ids, queries, sizes, wanted)))
+        near = celled.mapInArrow(lambda b: rerank(b, size, *held.value, k), "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        parts.append(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
-        if len(parts) > 1:
-            parts = [cut(parts[0].unionByName(parts[1]))]
-    return parts[0] if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    most = max(1, min(QUERIES, VISITED // made.value.cells))
+    return appended(spark, (found(*block) for block in blocks(queries_of(index, modulus), most)), "query_id long, rank int, vec_id long, score double")
 
 
 def _visits(spark, made, ids: np.ndarray, queries: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
@@ -214,10 +232,9 @@ def _visits(spark, made, ids: np.ndarray, queries: np.ndarray, sizes: np.ndarray
         rows, n = held.value
         for batch in batches:
             for one in batch.to_pylist():
-                bits = np.packbits(made.value.visits(rows[one["first"] : one["last"]], n, wanted), axis=1)
+                bits = made.value.visits(rows[one["first"] : one["last"]], n, wanted)
                 yield pa.RecordBatch.from_arrays([pa.array([one["chunk"]], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
 
     got = table.repartition(len(chunks), "chunk").mapInArrow(walked, "chunk int, bits binary").collect()
     width = (made.value.cells + 7) // 8
-    every = np.concatenate([np.frombuffer(r["bits"], np.uint8).reshape(-1, width) for r in sorted(got, key=lambda r: r["chunk"])])
-    return np.unpackbits(every, axis=1)[:, : made.value.cells].astype(bool)
+    return np.concatenate([np.frombuffer(r["bits"], np.uint8).reshape(-1, width) for r in sorted(got, key=lambda r: r["chunk"])])

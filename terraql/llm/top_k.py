@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraql.llm.shared import cut
-from terraql.llm.vectors import blocks, finite, matrices, queries_of
+from terraql.llm.vectors import appended, blocks, finite, matrices, queries_of
 
 #: Rows of an index block, queries of a block, and bitmaps kept for each attribute.
 ROWS, QUERIES, SLICES = 1 << 16, 2048, 6
@@ -194,13 +193,13 @@ def top_k(vectors: DataFrame, modulus: int, k: int = 10, scale: int = 1024, vec_
     scaled = F.transform(F.col(vector), lambda x: x.cast("double") * scale)
     quantised = F.transform(scaled, lambda x: F.when(F.abs(x) < WHOLE, F.floor(x).cast("double")).otherwise(x))
     index = vectors.where(F.col(vec_id).isNotNull() & finite(F.col(vector))).select(F.col(vec_id).cast("long").alias("vec_id"), quantised.alias("v"))
-    spark, parts = vectors.sparkSession, []
-    for ids, queries in blocks(queries_of(index, modulus), QUERIES):
+    spark = vectors.sparkSession
+
+    def found(ids: np.ndarray, queries: list[np.ndarray]) -> DataFrame:
         held = spark.sparkContext.broadcast((ids, [integers(q) for q in queries]))
-        near = index.mapInArrow(lambda b, held=held: search(b, *held.value, k), "query_id long, vec_id long, score long, over tinyint")
+        near = index.mapInArrow(lambda b: search(b, *held.value, k), "query_id long, vec_id long, score long, over tinyint")
         order = Window.partitionBy("query_id").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id")
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        parts.append(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score of the top k doesn't fit a long"))).alias("score")))
-        if len(parts) > 1:  # keeps the plan of many blocks short
-            parts = [cut(parts[0].unionByName(parts[1]))]
-    return parts[0] if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score of the top k doesn't fit a long"))).alias("score"))
+
+    return appended(spark, (found(*block) for block in blocks(queries_of(index, modulus), QUERIES)), "query_id long, rank int, vec_id long, score long")

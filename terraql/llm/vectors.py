@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraql.llm.shared import shared_dir
+
 
 def finite(vector: Column) -> Column:
     """Not null and not empty, and without null or non-finite components."""
@@ -35,6 +39,20 @@ def blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, list[np.
         yield np.array(ids, np.int64), rows
 
 
+def appended(spark: SparkSession, parts: Iterator[DataFrame], schema: str) -> DataFrame:
+    """The rows of all parts. Several are written, each once, to one folder of the shared storage as they come; one alone stays a plan."""
+    first = next(parts, None)
+    second = next(parts, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if second is None:
+        return first
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    for part in itertools.chain((first, second), parts):
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(first.schema).parquet(path)
+
+
 def matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, matrix) for each length of vector in a batch."""
     lists = batch.column(column)

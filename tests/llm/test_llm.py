@@ -592,3 +592,26 @@ def test_runs_of_a_letter_are_few_rows():
     for text, most in (("a" * 1_000_000, 30), ("ab" * 300_000, 30), ("abcdefghij" * 50_000, 30)):
         batch = pa.RecordBatch.from_pydict({"digest": [b"d" * 16], "text": [text]})
         assert sum(b.num_rows for b in suffix_dedup.anchor_rows(iter([batch]), suffix_dedup.Depth())) <= most
+
+
+def test_walk_over_many_squares():
+    rng = np.random.default_rng(8)
+    for n, m in ((40, 70), (16, 16), (1, 33), (100, 3)):
+        one, two, sizes = rng.normal(size=n), rng.normal(size=m), rng.integers(0, 5, n * m)
+        order = np.argsort((one[:, None] + two[None, :]).ravel())
+        order = order[sizes[order] > 0]
+        for wanted in (1, 10, int(sizes.sum()) // 2, int(sizes.sum())):
+            before = np.cumsum(sizes[order]) - sizes[order]
+            assert multi_index.walk(one, two, sizes, wanted) == order[before < wanted].tolist()
+
+
+def test_query_blocks_are_appended(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    table = [(i, rng.normal(size=8).tolist()) for i in range(1200)]
+    frame = spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(3)
+    whole = order(rows(top_k.top_k(frame, 100))), order(rows(multi_index.nearest_neighbours(frame, 100, share=1.0)))
+    for module in (top_k, multi_index):
+        monkeypatch.setattr(module, "QUERIES", 5)
+    assert (order(rows(top_k.top_k(frame, 100))), order(rows(multi_index.nearest_neighbours(frame, 100, share=1.0)))) == whole
+    score = lambda v, w: float((v * w).sum())
+    assert whole[1] == brute_nearest(table, 100, 20, score, any)
