@@ -20,6 +20,8 @@ from terraql.llm.shared import bounded_batches, cut
 BUCKETS, LONGEST, PIECE = 1 << 15, 3, 1 << 20
 #: The fit reads at most so many labelled texts of each language; their ids are broadcast up to so many rows.
 SAMPLE, BROADCAST_ROWS = 400, 100_000
+#: Languages that are learned, those of the most documents; parts in which a language's texts are first picked.
+LANGUAGES, SALTS = 256, 128
 UNKNOWN = "und"
 FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -103,7 +105,11 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, a
     logits = np.stack([rows[i][2] @ every[rows[i][1]] + bias for i in checked])
     truth = np.array([rows[i][0] for i in checked])
     grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
+    # smoothed truths, (n + 1) / (n + 2) after Platt: without them, texts that are all told apart ask for no doubt at all
+    wrong = 1 / (len(truth) + 2)
+    aims = np.full(logits.shape, wrong / max(1, k - 1))
+    aims[np.arange(len(truth)), truth] = 1 - wrong if k > 1 else 1
+    loss = [-(aims * np.log(softmax(logits / t) + 1e-300)).sum(axis=1).mean() for t in grid]
     return Model(labels, idf.astype(np.float32), every[:-1].astype(np.float32), bias, float(grid[int(np.argmin(loss))]))
 
 
@@ -133,11 +139,21 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())], ["lang", "key", "at", "n"])
 
 
+def _first(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows of each language. A task keeps n, a part of the tasks keeps n, and so no task meets more than n of each of these."""
+    out = rows.withColumn("part", F.spark_partition_id() % SALTS)
+    for groups in (("lang", "part"), ("lang",)):
+        window = Window.partitionBy(*groups).orderBy(*order)
+        out = out.withColumn("place", F.row_number().over(window)).where(F.col("place") <= n).drop("place")
+    return out.drop("part")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> Model | None:
     """A model from the documents that are not held out and have a language, an id and a letter; None without any.
 
     Document frequencies are over all of these; weights and temperature are fitted on those ``sample`` of each
-    language with the smallest hashes of their ids.
+    language with the smallest hashes of their ids. The ``LANGUAGES`` of the most documents are learned, which bounds what
+    the driver fits on.
     """
     bounded_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
@@ -149,15 +165,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> Model | None:
     df = np.zeros(BUCKETS)
     df[list(seen)] = list(seen.values())
     idf = np.log((1 + total) / (1 + df)) + 1
+    common = cut(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang"))
+    usable = usable.join(F.broadcast(common), "lang", "left_semi")
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     # ids first, so that the texts of no others are moved; rows that repeat an id are limited once more
-    first = Window.partitionBy("lang").orderBy("key", "doc_id")
-    ids = usable.select("lang", "doc_id", key.alias("key")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    ids = _first(usable.select("lang", "doc_id", key.alias("key")), sample, "key", "doc_id").select("doc_id", "lang").distinct()
     ids = cut(ids)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = usable.select("doc_id", "lang", "text", key.alias("key")).join(ids, ["doc_id", "lang"], "left_semi")
-    again = Window.partitionBy("lang").orderBy("key", "doc_id", F.xxhash64("text"))
-    texts = texts.withColumn("row", F.row_number().over(again)).where(F.col("row") <= sample)
+    texts = _first(texts.withColumn("order", F.xxhash64("text")), sample, "key", "doc_id", "order")
     rows = texts.select("lang", "key", "text").mapInArrow(counted, "lang string, key long, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["key"], r["at"], r["n"]))
     return train([(r["lang"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(float)) for r in rows], idf, seed=seed)
@@ -192,7 +208,12 @@ def languages(docs: DataFrame, sample: int = SAMPLE, seed: int = 42) -> DataFram
 
 
 def identified(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """docs without those that have no language: ``und``, or a score below ``least``."""
+    """docs without those that have no language: ``und``, or a score below ``least``.
+
+    What is learned, and what holds for nulls, ids and repeated rows, is as in ``languages``: null and empty texts and those
+    without a letter go, and all go where there is nothing to learn from. Texts of any length are read whole. An empty
+    table stays empty. Other columns are kept, whatever their names.
+    """
     model = fit(docs.select("doc_id", "text", "lang"), sample, seed)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     made = rows.select("row", predicted(rows, model).alias("p"))

@@ -615,3 +615,107 @@ def test_query_blocks_are_appended(spark, monkeypatch):
     assert (order(rows(top_k.top_k(frame, 100))), order(rows(multi_index.nearest_neighbours(frame, 100, share=1.0)))) == whole
     score = lambda v, w: float((v * w).sum())
     assert whole[1] == brute_nearest(table, 100, 20, score, any)
+
+
+def slow_grams(text):
+    """Occurrences of the hashed 1- to 3-grams, one at a time."""
+    out, wrap, factors = Counter(), (1 << 32) - 1, [int(x) for x in language_id.FACTORS]
+    code = [ord(c) for c in text.lower()]
+    for n in (1, 2, 3):
+        for at in range(len(code) - n + 1):
+            mixed = code[at] * factors[0] & wrap
+            for c in code[at + 1 : at + n]:
+                mixed = (mixed ^ mixed >> 15) * factors[1] + c * factors[2] & wrap
+            out[((mixed ^ mixed >> 13) * factors[1] & wrap) >> 17] += 1
+    return out
+
+
+def slow_model(examples, total, df, seed=42):
+    """The same fit by plain loops: TF-IDF, follow-the-regularised-leader with elastic net, and the temperature."""
+    from math import exp, log, sqrt
+
+    idf = {b: log((1 + total) / (1 + n)) + 1 for b, n in df.items()}
+    labels = sorted({label for label, _ in examples})
+    vectors = []
+    for label, grams in examples:
+        v = {b: (1 + log(n)) * idf[b] for b, n in grams.items()}
+        norm = sqrt(sum(x * x for x in v.values()))
+        vectors.append((labels.index(label), {b: x / norm for b, x in v.items()}))
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(vectors)).tolist()
+    n_back = int(len(vectors) * 0.2) if len(vectors) >= 5 else 0
+    back, own = order[:n_back], order[n_back:]
+    z, g2 = defaultdict(lambda: [0.0] * len(labels)), defaultdict(lambda: [0.0] * len(labels))
+
+    def weight(b, c):
+        return 0.0 if abs(z[b][c]) <= 0.02 else -(z[b][c] - (0.02 if z[b][c] > 0 else -0.02)) / ((1 + sqrt(g2[b][c])) / 1.0 + 0.1)
+
+    def share(logits):
+        top = max(logits)
+        e = [exp(x - top) for x in logits]
+        return [x / sum(e) for x in e]
+
+    for _ in range(3):
+        for i in rng.permutation(own).tolist():
+            y, v = vectors[i]
+            v = {**v, "bias": 0.1}
+            w = {b: [weight(b, c) for c in range(len(labels))] for b in v}
+            p = share([sum(x * w[b][c] for b, x in v.items()) for c in range(len(labels))])
+            for b, x in v.items():
+                for c in range(len(labels)):
+                    g = x * (p[c] - (c == y))
+                    z[b][c] += g - (sqrt(g2[b][c] + g * g) - sqrt(g2[b][c])) * w[b][c]
+                    g2[b][c] += g * g
+
+    def logits(v):
+        return [sum(x * weight(b, c) for b, x in v.items() if b in z) + 0.1 * weight("bias", c) for c in range(len(labels))]
+
+    checked = back or own
+    wrong = 1 / (len(checked) + 2)
+    best = None
+    for t in np.exp(np.linspace(np.log(0.02), np.log(20), 200)).tolist():
+        loss = 0.0
+        for i in checked:
+            p = share([x / t for x in logits(vectors[i][1])])
+            loss -= sum(log(p[c] + 1e-300) * (1 - wrong if c == vectors[i][0] else wrong / (len(labels) - 1)) for c in range(len(labels)))
+        best = min(best, (loss, t)) if best else (loss, t)
+
+    def predict(text):
+        grams = slow_grams(text)
+        v = {b: (1 + log(n)) * idf.get(b, log(1 + total) + 1) for b, n in grams.items()}
+        norm = sqrt(sum(x * x for x in v.values()))
+        p = share([x / best[1] for x in logits({b: x / norm for b, x in v.items()})])
+        return labels[p.index(max(p))], max(p)
+
+    return predict
+
+
+def test_model_is_as_slow_loops_make_it(spark, docs):
+    some = docs.withColumn("text", F.substring("text", 1, 160)).where("doc_id % 2 = 0")
+    read = [r for r in some.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] and re.search(r"[^\W\d_]", r["text"] or "")]
+    grams = [slow_grams(r["text"]) for r in read]
+    df = Counter(b for g in grams for b in g)
+    key = {r[0]: r[1] for r in spark.createDataFrame([(r["doc_id"],) for r in read], "doc_id long").select("doc_id", F.xxhash64(F.lit(42), "doc_id")).collect()}
+    packed = [(r["lang"], key[r["doc_id"]], g) for r, g in zip(read, grams, strict=True)]
+    packed.sort(key=lambda x: x[:2])
+    predict = slow_model([(lang, dict(sorted(g.items()))) for lang, _, g in packed], len(read), df)
+    got = {r["doc_id"]: r for r in language_id.languages(some).collect()}
+    for r in some.collect():
+        if re.search(r"[^\W\d_]", r["text"] or ""):
+            label, score = predict(r["text"])
+            assert got[r["doc_id"]]["lang_pred"] == label and abs(got[r["doc_id"]]["score"] - score) < 1e-4
+
+
+def test_scores_of_no_learned_language(docs):
+    model = language_id.fit(docs)
+    for text in ("12 a", "xk qq zzv", "これは日本語の文章です", "Привет, как дела", "Ελληνικά γράμματα"):
+        assert model.predict(text)[1] < 0.9
+    right = [model.predict(r["text"])[1] for r in docs.where("lang is not null and length(text) > 200").limit(80).collect()]
+    assert np.median(right) > 0.95
+
+
+def test_first_rows_of_a_language_come_from_all_tasks(spark):
+    table = spark.range(0, 3000, 1, 37).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"), F.xxhash64("id").alias("key"), F.col("id").alias("doc_id"))
+    every = sorted((r["lang"], r["key"]) for r in table.collect())
+    want = [x for lang in "ab" for x in [y for y in every if y[0] == lang][:50]]
+    assert sorted((r["lang"], r["key"]) for r in language_id._first(table, 50, "key", "doc_id").collect()) == want
