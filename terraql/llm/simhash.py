@@ -154,15 +154,18 @@ def links(distinct: DataFrame, radius: int, n: int, tile: int = TILE) -> DataFra
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     band = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("band", "value")
     dealt = distinct.select("fp", F.bit_count("fp").alias("ones"), band)
-    counts = dealt.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"))
-    hot = cut(counts.where(F.col("n") > tile).select("band", "value", F.ceil(F.col("n") / F.lit(tile // 2)).cast("int").alias("tiles")))
     key = ["band", "value"]
+    counts = dealt.groupBy(*key, "ones").agg(F.count(F.lit(1)).alias("n"))
+    # of a hot bucket, how many tiles each bit count is cut into; there are 65 of them at most
+    tiles = F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / F.lit(tile // 2)).cast("int").alias("tiles"))))
+    hot = cut(counts.groupBy(*key).agg(F.sum("n").alias("n"), tiles.alias("tiles")).where(F.col("n") > tile).select(*key, "tiles"))
     plain = dealt.join(hot, key, "left_anti").select(F.xxhash64("band", "value").alias("unit"), F.lit(0).alias("part"), "fp")
     if not hot.isEmpty():
-        # tile (ones, slice): compared with itself and with every tile of the bucket at most radius ones above
-        tiled = dealt.join(hot, key).withColumn("slice", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+        # tile (ones, slice): compared with itself and with every tile of the bucket at most radius ones away
+        tiled = dealt.join(hot, key).withColumn("slice", F.pmod(F.xxhash64("fp"), F.try_element_at("tiles", "ones")).cast("int"))
         place = F.struct(F.col("ones").alias("o"), F.col("slice").alias("s"))
-        every = F.explode(F.flatten(F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda d: F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda s: F.struct((F.col("ones") + d).alias("o"), s.alias("s"))))))
+        near = F.filter(F.map_entries("tiles"), lambda e: F.abs(e["key"] - F.col("ones")) <= radius)
+        every = F.explode(F.flatten(F.transform(near, lambda e: F.transform(F.sequence(F.lit(0), e["value"] - 1), lambda s: F.struct(e["key"].alias("o"), s.alias("s"))))))
         paired = tiled.select(*key, "fp", place.alias("own"), every.alias("other"))
         least, most = F.least("own", "other"), F.greatest("own", "other")
         part = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
@@ -201,12 +204,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, doc_id: st
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest doc_id (nulls last; ties: the smallest text hash), with all its columns.
 
-    Of rows that share that doc_id and text, one stays.
+    Of rows that share that doc_id and text, one stays. Null and empty texts are a group like any other. Texts of any length
+    are hashed whole; an empty table stays empty. Other columns are kept, whatever their names.
     """
     found = near_duplicates(docs, **options)
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     least = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("kept"))
-    kept = least.select("kept.doc_id", "kept.text_hash")
-    rows = docs.select(F.col("doc_id").alias("doc_key"), F.xxhash64("text").alias("text_key"), F.struct("*").alias("row"))
-    same = rows["doc_key"].eqNullSafe(kept["doc_id"]) & (rows["text_key"] == kept["text_hash"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_key", "text_key"]).select("row.*")
+    key = ["none", "doc_key", "text_key"]  # without nulls, so that one exchange serves both the distinct rows and the join
+    named = [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key")]
+    kept = least.select("kept.*").select(*named, F.col("text_hash").alias("text_key"))
+    rows = docs.select(*named, F.xxhash64("text").alias("text_key"), F.struct("*").alias("row"))
+    return rows.dropDuplicates(key).join(kept, key, "left_semi").select("row.*")
