@@ -7,13 +7,14 @@ joined with the digests of known licence texts. Looked up are a whole document a
 from __future__ import annotations
 
 import re
+from functools import reduce
 from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spellings held equal, after those of the usual licence-matching guidelines.
-SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "acknowledgement": "acknowledgment", "copyright owner": "copyright holder", "sub license": "sublicense", "non commercial": "noncommercial", "per cent": "percent", "wilful": "willful", "fulfil": "fulfill", "whilst": "while", "favour": "favor", "https": "http"}
+SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "licencee": "licensee", "licencees": "licensees", "licencor": "licensor", "licencors": "licensors", "sublicence": "sublicense", "sublicences": "sublicenses", "sublicenced": "sublicensed", "sublicencing": "sublicensing", "acknowledgement": "acknowledgment", "copyright owner": "copyright holder", "sub license": "sublicense", "non commercial": "noncommercial", "per cent": "percent", "wilful": "willful", "fulfil": "fulfill", "whilst": "while", "favour": "favor", "https": "http"}
 
 COPYRIGHT = r"(?im)^[\s/*#;.-]*(?:copyright\b.*(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©).*$"
 
@@ -73,53 +74,88 @@ KNOWN = NOTICES + full_texts()
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, runs of other characters than letters and digits as one blank, one spelling."""
+    """Lower case, no copyright lines, runs of other characters than letters and digits as two blanks, so that each word has its own, one spelling."""
     flat = F.regexp_replace(text, COPYRIGHT_LINE, " ")
-    flat = F.trim(F.regexp_replace(F.lower(flat), r"[^\p{L}\p{N}]+", " "))
+    flat = F.trim(F.regexp_replace(F.lower(flat), r"[^\p{L}\p{N}]+", "  "))
     flat = F.concat(F.lit(" "), flat, F.lit(" "))
     for old, new in SPELLINGS.items():
-        flat = F.replace(flat, F.lit(f" {old} "), F.lit(f" {new} "))
+        flat = F.replace(flat, F.lit(_spaced(old)), F.lit(_spaced(new)))
     return F.trim(flat)
 
 
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
 def known_digests(df: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     spark = df.sparkSession
     return spark.createDataFrame(list(known), "license_id string, text string").select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
 
 
+def telling(known: tuple[tuple[str, str], ...]) -> list[str] | None:
+    """Pieces of words of which every text that evens out to a known one has some; None if there are no such pieces.
+
+    A word that no spelling leads to stands in the raw text too, and of the others the piece that all their spellings share.
+    Those that most of the texts have come first, the longest of these.
+    """
+    shared = "licen"  # the spellings of licence and its kin
+    made = {w: [old for old, new in SPELLINGS.items() if w in new.split()] for new in SPELLINGS.values() for w in new.split()}
+    own = []
+    for _, text in known:
+        words = set(re.findall(r"[a-z]+", re.sub(COPYRIGHT, " ", text).lower()))
+        for old, new in SPELLINGS.items():
+            words |= set(new.split()) if set(old.split()) <= words else set()
+        plain = {w for w in words if len(w) >= 5 and w not in made and not any(w in old.split() for old in SPELLINGS)}
+        own.append(plain | ({shared} if any(shared in w and all(shared in old for old in made.get(w, [])) for w in words) else set()))
+    out = []
+    while own:
+        counts: dict[str, int] = {}
+        for words in own:
+            for w in words:
+                counts[w] = counts.get(w, 0) + 1
+        if not counts or not all(own):
+            return None
+        best = max(counts, key=lambda w: (counts[w], len(w), w))
+        out.append(best)
+        own = [words for words in own if best not in words]
+    return out
+
+
 def license_scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """doc_id, license_id, n_lines and whole_text: a row for each document and licence found in it.
 
     ``n_lines`` counts the lines that are a known text as a whole, ``whole_text`` says whether the document is.
     Null and empty texts hold none. Rows that share a doc_id are counted together. Texts and lines of any length are
-    evened out, as copyright lines, punctuation and blanks that fall away have no bound. Of the known texts,
-    a table in the code, all digests are broadcast.
+    evened out, as copyright lines, punctuation and blanks that fall away have no bound; those without any of the words of
+    which each known text has one are not (``telling``). Of the known texts, a table in the code, all digests are broadcast.
     """
     digests = F.broadcast(known_digests(docs, known))
     rows = docs.select("doc_id", "text")
     lines = rows.select("doc_id", F.explode(F.split("text", "[\r\n]+")).alias("unit"), F.lit(1).alias("line"))
     units = lines.unionByName(rows.select("doc_id", F.col("text").alias("unit"), F.lit(0).alias("line"))).where("unit <> ''")
+    if pieces := telling(known):
+        low = F.lower("unit")
+        units = units.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in pieces]))
     found = units.withColumn("digest", F.sha2(canonical(F.col("unit")), 256)).join(digests, "digest")
     return found.groupBy("doc_id", "license_id").agg(F.sum("line").cast("long").alias("n_lines"), (F.min("line") == 0).alias("whole_text"))
 
 
 def canonical_sql(text: str) -> str:
-    flat = f"' ' || trim(regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    flat = f"' ' || trim(regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
     for old, new in SPELLINGS.items():
-        flat = f"replace({flat}, ' {old} ', ' {new} ')"
+        flat = f"replace({flat}, '{_spaced(old)}', '{_spaced(new)}')"
     return f"trim({flat})"
 
 
 def scan_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
     """The same scan in SQL, comparing canonical texts instead of digests."""
-    longest = max(len(text) for _, text in known)
     rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in known)
     return f"""
 WITH known AS (SELECT DISTINCT license_id, {canonical_sql("t")} AS canon FROM (VALUES {rows}) AS v(license_id, t)),
 units AS (
   SELECT doc_id, unnest(regexp_split_to_array(text, '[\r\n]+')) AS unit, 1 AS line FROM documents
-  UNION ALL SELECT doc_id, text, 0 FROM documents WHERE length(text) <= {4 * longest}
-), canons AS (SELECT doc_id, line, {canonical_sql("unit")} AS canon FROM units WHERE length(unit) BETWEEN 1 AND CASE line WHEN 1 THEN {2 * longest} ELSE {4 * longest} END)
+  UNION ALL SELECT doc_id, text, 0 FROM documents
+), canons AS (SELECT doc_id, line, {canonical_sql("unit")} AS canon FROM units WHERE length(unit) >= 1)
 SELECT doc_id, license_id, CAST(sum(line) AS BIGINT) AS n_lines, min(line) = 0 AS whole_text
 FROM canons JOIN known USING (canon) GROUP BY doc_id, license_id
 """

@@ -719,3 +719,19 @@ def test_first_rows_of_a_language_come_from_all_tasks(spark):
     every = sorted((r["lang"], r["key"]) for r in table.collect())
     want = [x for lang in "ab" for x in [y for y in every if y[0] == lang][:50]]
     assert sorted((r["lang"], r["key"]) for r in language_id._first(table, 50, "key", "doc_id").collect()) == want
+
+
+def test_telling_words_lose_no_licence(spark):
+    """With and without the test for telling words the scan finds the same, for each known text in other spellings."""
+    pieces = license_scan.telling(license_scan.KNOWN)
+    assert pieces and license_scan.telling((("x", "of all"),)) is None
+    back = {new: old for old, new in license_scan.SPELLINGS.items()}
+    for _, text in license_scan.KNOWN:
+        low = " ".join(re.findall(r"[^\W_]+", text.lower()))
+        other = low
+        for new, old in back.items():
+            other = f" {other} ".replace(f" {new} ", f" {old} ").strip()
+        assert any(p in low for p in pieces) and any(p in other for p in pieces)
+    texts = [re.sub(r"\bLICENSE(S|D|E|ES)?\b", r"LICENCE\1", text.upper()) for _, text in license_scan.KNOWN] + ["nothing to see"]
+    found = rows(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {i for i, _, _, whole in found if whole} == set(range(len(license_scan.KNOWN)))
