@@ -23,7 +23,7 @@ from terraql.llm.split import Splitter
 from terraql.llm.token_counts import NO_PAIR, PairTable
 
 #: Distinct pre-tokens a worker remembers; new ones of a merge replay; pre-tokens held before one; ids written or read at a time.
-REMEMBERED, NEW, HELD, AT_ONCE = 400_000, 100_000, 2_000_000, 1 << 18
+REMEMBERED, NEW, HELD, AT_ONCE = 250_000, 50_000, 500_000, 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
