@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Parquet tables in the shared folder that go when the block ends."""
 
@@ -51,8 +57,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.root)
 
 
 #: Makes Spark remove the shuffle files of a query when it ends, instead of when its plan is forgotten.

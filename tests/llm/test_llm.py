@@ -670,14 +670,14 @@ def slow_model(examples, total, df, seed=42):
     def logits(v):
         return [sum(x * weight(b, c) for b, x in v.items() if b in z) + 0.1 * weight("bias", c) for c in range(len(labels))]
 
-    checked = back or own
+    checked = [(vectors[i][0], logits(vectors[i][1])) for i in back or own]
     wrong = 1 / (len(checked) + 2)
     best = None
     for t in np.exp(np.linspace(np.log(0.02), np.log(20), 200)).tolist():
         loss = 0.0
-        for i in checked:
-            p = share([x / t for x in logits(vectors[i][1])])
-            loss -= sum(log(p[c] + 1e-300) * (1 - wrong if c == vectors[i][0] else wrong / (len(labels) - 1)) for c in range(len(labels)))
+        for y, found in checked:
+            p = share([x / t for x in found])
+            loss -= sum(log(p[c] + 1e-300) * (1 - wrong if c == y else wrong / (len(labels) - 1)) for c in range(len(labels)))
         best = min(best, (loss, t)) if best else (loss, t)
 
     def predict(text):
@@ -690,15 +690,20 @@ def slow_model(examples, total, df, seed=42):
     return predict
 
 
-def test_model_is_as_slow_loops_make_it(spark, docs):
-    some = docs.withColumn("text", F.substring("text", 1, 160)).where("doc_id % 2 = 0")
-    read = [r for r in some.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] and re.search(r"[^\W\d_]", r["text"] or "")]
+def slow_languages(spark, read):
+    """The slow model of rows, which have to be fewer than the sample."""
+    read = [r for r in read if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] and re.search(r"[^\W\d_]", r["text"] or "")]
     grams = [slow_grams(r["text"]) for r in read]
     df = Counter(b for g in grams for b in g)
     key = {r[0]: r[1] for r in spark.createDataFrame([(r["doc_id"],) for r in read], "doc_id long").select("doc_id", F.xxhash64(F.lit(42), "doc_id")).collect()}
     packed = [(r["lang"], key[r["doc_id"]], g) for r, g in zip(read, grams, strict=True)]
     packed.sort(key=lambda x: x[:2])
-    predict = slow_model([(lang, dict(sorted(g.items()))) for lang, _, g in packed], len(read), df)
+    return slow_model([(lang, dict(sorted(g.items()))) for lang, _, g in packed], len(read), df)
+
+
+def test_model_is_as_slow_loops_make_it(spark, docs):
+    some = docs.withColumn("text", F.substring("text", 1, 160)).where("doc_id % 2 = 0")
+    predict = slow_languages(spark, some.collect())
     got = {r["doc_id"]: r for r in language_id.languages(some).collect()}
     for r in some.collect():
         if re.search(r"[^\W\d_]", r["text"] or ""):
@@ -735,3 +740,106 @@ def test_telling_words_lose_no_licence(spark):
     texts = [re.sub(r"\bLICENSE(S|D|E|ES)?\b", r"LICENCE\1", text.upper()) for _, text in license_scan.KNOWN] + ["nothing to see"]
     found = rows(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert {i for i, _, _, whole in found if whole} == set(range(len(license_scan.KNOWN)))
+
+
+def slow_mix(spark, read, shard_words=mixing.SHARD_WORDS, seed=42, cap=3, block=64):
+    """For each row: its size, its source's size and target, whole rounds, and which of its words the run takes; word by word."""
+    sizes = [len(WORD.findall(r["text"] or "")) for r in read]
+    frame = spark.createDataFrame([(i, r["doc_id"], r["text"]) for i, r in enumerate(read)], "i long, doc_id long, text string")
+    hashed = {r["i"]: (r["o"], r["s"]) for r in frame.select("i", F.xxhash64(F.lit(seed), "doc_id", "text").alias("o")).withColumn("s", F.xxhash64("o", F.lit(1))).collect()}
+    named = sorted({r["source"] for r in read if r["source"] is not None}, key=lambda s: s.encode("utf-32-be")) + [None] * any(r["source"] is None for r in read)
+    total = {s: sum(n for n, r in zip(sizes, read, strict=True) if r["source"] == s) for s in named}
+    target, live, left = {}, {s: [1, 2, 3][i % 3] for i, s in enumerate(named)}, float(sum(sizes))
+    while live:
+        per = left / sum(live.values())
+        over = [s for s, w in live.items() if w * per > cap * total[s]]
+        for s in over or list(live):
+            target[s] = float(cap * total[s]) if over else live[s] * per
+            left -= target[s] if over else 0
+            del live[s]
+
+    def seats(votes, n, most):
+        given = [0] * len(votes)
+        for _ in range(n):
+            free = [i for i in range(len(votes)) if given[i] < most[i] and votes[i] > 0]
+            if not free:
+                break
+            given[max(free, key=lambda i: (votes[i] / (2 * given[i] + 1), -i))] += 1
+        return given
+
+    quota = dict(zip(named, seats([target[s] for s in named], sum(sizes) // block, [cap * total[s] // block for s in named]), strict=True))
+    out = [None] * len(read)
+    for s in named:
+        rows_of = [i for i, r in enumerate(read) if r["source"] == s]
+        shards = defaultdict(list)
+        count = max(1, -(-total[s] // shard_words))
+        for i in rows_of:
+            shards[hashed[i][1] % count].append(i)
+        order_ = sorted(shards)
+        lengths = [sum(sizes[i] for i in shards[k]) for k in order_]
+        dealt = seats(lengths, quota[s], [cap * x // block for x in lengths])
+        short = int(round(target[s])) - sum(dealt) * block
+        start = {r["k"]: r["h"] for r in spark.createDataFrame([(s, k) for k in order_], "source string, k long").select("k", F.xxhash64(F.lit(seed), "source", "k").alias("h")).collect()}
+        for k, length, n in zip(order_, lengths, dealt, strict=True):
+            more = max(min(short, cap * length - n * block), -n * block)
+            short -= more
+            words = n * block + more
+            own = sorted(shards[k], key=lambda i: (hashed[i][0], read[i]["doc_id"], sizes[i]))
+            stream = [(i, w) for i in own for w in range(sizes[i])]
+            rounds, rest = divmod(words, max(1, length))
+            at = start[k] % max(1, -(-max(1, length) // block)) * block
+            run = {stream[(at + j) % length] for j in range(rest)} if length else set()
+            for i in own:
+                out[i] = (sizes[i], total[s], target[s], rounds if sizes[i] else 0, [(i, w) in run for w in range(sizes[i])])
+    return out
+
+
+def mixed_texts(read, mixed):
+    out = []
+    for r, (size, _, _, rounds, run) in zip(read, mixed, strict=True):
+        out += [(r, r["text"])] * rounds
+        if any(run):
+            out.append((r, r["text"] if all(run) else " ".join(w for w, taken in zip(WORD.findall(r["text"]), run, strict=True) if taken)))
+    return out
+
+
+@pytest.mark.parametrize("shard_words", [mixing.SHARD_WORDS, 9_000])
+def test_mix_word_by_word(spark, docs, shard_words):
+    read = docs.collect()
+    mixed = slow_mix(spark, read, shard_words)
+    want = order([(r["doc_id"], size, total, target, rounds * size + sum(run)) for r, (size, total, target, rounds, run) in zip(read, mixed, strict=True)])
+    assert order(rows(mixing.mix(docs, shard_words=shard_words))) == want
+    got = mixing.mixed_documents(docs, shard_words=shard_words).select("doc_id", "text")
+    assert order(rows(got)) == order([(r["doc_id"], text) for r, text in mixed_texts(read, mixed)])
+
+
+def slow_pipeline(spark, read):
+    """The stages one after the other by plain loops: rows (doc_id, ids, bytes)."""
+    import tiktoken
+
+    predict = slow_languages(spark, read)
+    told = [r for r in read if re.search(r"[^\W\d_]", r["text"] or "") and predict(r["text"])[1] >= 0.5]
+    group = brute_components([(r["doc_id"], brute_fingerprint(r["text"])) for r in told])
+    kept = [dict(r.asDict()) for r, (d, _, c) in zip(told, group, strict=True) if d == c]
+    marks = brute_passages([r["text"] for r in kept], 50)
+    for r, gone in zip(kept, marks, strict=True):
+        r["text"] = without(r["text"], gone) if any(gone) else r["text"]
+    kept = [r for r in kept if WORD.search(r["text"])]
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return [(r["doc_id"], library.encode_ordinary(text), text) for r, text in mixed_texts(kept, slow_mix(spark, kept))]
+
+
+def test_pipeline_is_its_slow_stages(spark, data, docs):
+    import corpus_pipeline
+
+    want = [(d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids) for d, ids, text in slow_pipeline(spark, docs.collect())]
+    got = corpus_pipeline.run(spark, data).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
+    assert want and order(rows(got)) == order(want)
+
+
+def test_pipeline_of_an_empty_table(spark, no_docs, tmp_path):
+    import corpus_pipeline
+
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
