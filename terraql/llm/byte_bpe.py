@@ -66,14 +66,33 @@ class Codec:
         self.ids, self.lengths, self.places = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def one(self, word: bytes) -> list[int]:
-        """Lowest rank first, from the left: what the replay has to give, for one pre-token."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], NO_PAIR), i) for i in range(len(parts) - 1))
-            if rank == NO_PAIR:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        """Lowest rank first, from the left: what the replay has to give, for one pre-token. A heap holds the pairs, so a long one takes n log n."""
+        n = len(word)
+        after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))  # of the part that starts at a place
+        heap: list[tuple[int, int, int, int]] = []
+
+        def enter(i: int) -> None:
+            if i >= 0 and (j := after[i]) < n:
+                rank = self.ranks.get(word[i : stop[j]])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, i, stop[i], stop[j]))
+
+        for i in range(n):
+            enter(i)
+        while heap:
+            _, i, middle, end = heapq.heappop(heap)
+            if stop[i] != middle or middle >= n or stop[middle] != end:
+                continue  # one of the two is part of another by now
+            stop[i], after[i], stop[middle] = end, after[middle], 0
+            if after[i] < n:
+                before[after[i]] = i
+            enter(before[i])
+            enter(i)
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[word[i : stop[i]]])
+            i = after[i]
+        return out
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words behind each other, and how many each word has."""

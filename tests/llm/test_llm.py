@@ -843,3 +843,65 @@ def test_pipeline_of_an_empty_table(spark, no_docs, tmp_path):
 
     no_docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_words_one_by_one(tmp_path):
+    """The heap gives what looking at every pair each time gives, also for long words, and in a time that grows with their length."""
+    import base64
+    import time
+
+    tokens = [bytes([b]) for b in range(256)] + [b"abcd", b"cd", b"ab", b"bcd", b"xab", b"aa", b"aaaa", b"aaa"]
+    path = tmp_path / "r.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+    codec = byte_bpe.Codec(str(path), public_tokenizers.PATTERN)
+
+    def plain(word):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while len(parts) > 1:
+            rank, i = min((codec.ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
+            if rank == 1 << 30:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [codec.ranks[p] for p in parts]
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 9, 40, 300):
+        for _ in range(20):
+            word = bytes(rng.choice(list(b"abcdx"), n).tolist())
+            assert codec.one(word) == plain(word)
+    began = time.perf_counter()
+    assert len(codec.one(b"a" * 400_000)) == 100_000
+    assert time.perf_counter() - began < 60
+
+
+def test_one_very_long_url(spark):
+    table = spark.createDataFrame([(1, "x://example.com/de/" + "a/" * 100_000), (2, "x://net/login")], "page_id long, url string")
+    assert [tuple(r)[1:] for r in url_filter.judge(table, queries.RULES, queries.GLOBS).orderBy("page_id").select("page_id", "rule", "verdict").collect()] == [("example.com/de/", "block"), ("net/", "block")]
+
+
+def test_clashing_names_and_long_texts_of_tokens(spark, monkeypatch):
+    """Columns named like the results are replaced, others kept; texts of several pieces give the ids of whole ones."""
+    from terraql.llm import split
+
+    rng = np.random.default_rng(15)
+    long = " ".join("".join(rng.choice(list("abcdeé日"), rng.integers(1, 9))) for _ in range(3000))
+    table = spark.createDataFrame([(1, long, 5, "r", "x"), (2, None, 6, "s", "y")], "doc_id long, text string, n_tokens long, row string, Made string")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = byte_bpe.round_trip(table, path, public_tokenizers.PATTERN).orderBy("doc_id").collect()
+    assert [r["row"] for r in got] == ["r", "s"] and [r["Made"] for r in got] == ["x", "y"] and got[1]["n_tokens"] == 0
+    codec = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    whole = codec.encode([long])
+    assert got[0]["n_tokens"] == len(whole[0]) // 4
+    for name, value in (("HELD", 50), ("NEW", 10), ("REMEMBERED", 20), ("AT_ONCE", 7)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    monkeypatch.setattr(split, "PIECE", 64)
+    assert byte_bpe.Codec(path, public_tokenizers.PATTERN).encode([long]) == whole
+    counted = token_counts.token_counts(table, public_tokenizers.path("word_bpe_49k.json")).orderBy("doc_id").collect()
+    assert [r["row"] for r in counted] == ["r", "s"] and counted[1]["n_tokens"] == 0 and counted[0]["n_tokens"] > 3000
+
+
+def test_fingerprints_of_chunks(monkeypatch):
+    text = " ".join(f"w{i * i % 997}" for i in range(5000))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "CHUNK", 100)
+    assert simhash.fingerprint(text) == whole == brute_fingerprint(text)
