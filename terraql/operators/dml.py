@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraql.errors import UNDEFINED_COLUMN, UNIQUE_VIOLATION, EngineError
+from terraql.sources.tables import kept
 
 
 def coerced(rows: DataFrame, like: DataFrame) -> DataFrame:
@@ -22,6 +23,7 @@ def insert(table: DataFrame, rows: DataFrame, key: Sequence[str] = (), check: bo
     """The table with rows added; a key that is there already, or twice among the rows, is an error."""
     new = coerced(rows, table)
     if key and check:
+        new = kept(new)  # what is checked is what is added, also where the source would give other rows the next time
         twice = new.groupBy(*key).count().where("count > 1").select(*key)
         taken = new.select(*key).join(table.select(*key), list(key), "left_semi")
         found = twice.unionByName(taken).limit(1).collect()

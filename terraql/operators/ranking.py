@@ -54,8 +54,11 @@ def _ranges(scores: DataFrame, score: str, high_first: bool, name: str) -> DataF
 def score_for_rank(df: DataFrame, score: str, rank: int, groups: Sequence[str] = (), high_first: bool = False, default: object = None) -> DataFrame:
     """The score at a rank of each group; groups that are shorter have the default, if there is one, else no row."""
     scores = df.where(F.col(score).isNotNull()).select(*groups, score).distinct()
-    placed = scores.withColumn("_r", F.row_number().over(_over(groups, score, high_first)) - 1).where(F.col("_r") <= rank)
-    found = placed.where(F.col("_r") == rank).drop("_r")
+    if groups:
+        placed = scores.withColumn("_r", F.row_number().over(_over(groups, score, high_first)) - 1).where(F.col("_r") <= rank)
+        found = placed.where(F.col("_r") == rank).drop("_r")
+    else:  # each task sends its first scores only
+        found = scores.orderBy(F.col(score).desc() if high_first else F.col(score).asc()).offset(rank).limit(1)
     if default is None:
         return found
     if not groups:

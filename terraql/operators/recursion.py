@@ -9,19 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraql.sources.tables import shared_folder
+from terraql.sources.tables import kept
 
 #: Rounds between checkpoints, and between those that also write what was found; a multiple.
 ROUNDS, MERGED = 8, 64
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -41,13 +34,13 @@ def descend(edges: DataFrame, roots: DataFrame, parent: str, child: str, most: i
         level += 1
         step = frontier.join(edge, frontier["node"] == edge["_p"]).where(~F.array_contains("path", F.col("_c")))
         frontier = step.select(F.col("_c").alias("node"), F.lit(level).alias("level"), F.concat("path", F.array("_c")).alias("path"))
-        frontier = _kept(frontier) if level % ROUNDS == 0 else frontier.persist()
+        frontier = kept(frontier) if level % ROUNDS == 0 else frontier.persist()
         if frontier.isEmpty():
             break
         parts[0].append(frontier)
         n = 0
         while level % MERGED == 0 and len(parts[n]) >= MERGED:
-            merged = _kept(_union(parts[n]))
+            merged = kept(_union(parts[n]))
             for part in parts[n]:
                 part.unpersist()
             parts[n] = []

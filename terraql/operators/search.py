@@ -8,8 +8,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraql.functions.text import tokens
+from terraql.functions.text import bound, tokens
 from terraql.functions.vectors import METRICS
+from terraql.sources.tables import kept
 
 
 def inverted(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,10 +24,13 @@ def _equals(word: str) -> Callable[[Column], Column]:
 
 def bm25(df: DataFrame, key: str, text: str, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Keys of texts that have any word of the query, with their score."""
-    words = df.select(key, tokens(F.col(text)).alias("_w"))
     wanted = [w.lower() for w in dict.fromkeys(query)]
-    counts = [F.size(F.filter("_w", _equals(w))).alias(f"_n{i}") for i, w in enumerate(wanted)]
-    each = words.select(key, F.size("_w").alias("_len"), *counts)
+
+    def counted(words: Column) -> Column:
+        return F.struct(F.size(words).alias("_len"), *[F.size(F.filter(words, _equals(w))).alias(f"_n{i}") for i, w in enumerate(wanted)])
+
+    # a text is split once, and its few numbers are kept for the statistics and the scores
+    each = kept(df.select(key, bound(tokens(F.col(text)), counted).alias("_c")).select(key, "_c.*"))
     stats = each.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_n{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(wanted))])
     both = each.where(" or ".join(f"_n{i} > 0" for i in range(len(wanted)))).join(F.broadcast(stats))
     score = F.lit(0.0)

@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df with its rows written to the shared folder and its lineage gone."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
