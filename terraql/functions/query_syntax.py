@@ -1,6 +1,7 @@
 """Search strings as predicates: words, "phrases", "phrases with gaps"~2, prefixes*, patterns with ? and *, near~1 words,
 [a TO b] and {a TO b} ranges, AND, OR, NOT, +must, -must not, groups, field:clauses and escapes by backslash.
 
+A phrase with a gap holds where all its words stand, in any order, within as many more places than they take.
 Clauses that stand next to each other are alternatives, as OR is; if some have a plus, only those have to hold. A boost (^2)
 changes an order by relevance and no predicate, so it is read and left out.
 """

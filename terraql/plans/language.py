@@ -262,8 +262,9 @@ def text_search_ranges(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents))
-SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.x = 'under' AND b.x = 'license,' AND abs(a.i - b.i) <= 4""")
+SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.x = 'under' AND b.x = 'license,' AND abs(a.i - b.i) <= 5""")
 def text_search_slop(t: Tables) -> DataFrame:
+    """Two words with up to four others between them, in either order."""
     return t.documents.where(query_syntax.search('"under license,"~4', {"text": F.col("text")})).select("doc_id")
 
 
