@@ -398,7 +398,8 @@ def repeated_bytes(docs: DataFrame, span: int = SPAN, gram: int = GRAM, gathered
 
 def _without(docs: DataFrame, full: DataFrame, cut_out) -> DataFrame:
     """Documents that lose all their words go; those whose text is not cut stay as they are."""
-    full = full.withColumn("new_text", cut_out(F.col("row.text"), F.col("spans0")))
+    # marked so, or the filter below would evaluate it a second time, in a second worker beside each task's own
+    full = full.withColumn("new_text", cut_out.asNondeterministic()(F.col("row.text"), F.col("spans0")))
     cut_ = F.col("spans0").isNotNull() & F.coalesce(F.col("new_text") != F.col("row.text"), F.lit(False))
     full = full.withColumn("cut", cut_).where(~F.col("cut") | (F.length(F.regexp_replace("new_text", r"[\x20\x09-\x0D]+", "")) > 0))
     new = {"text": F.col("new_text"), "n_chars": F.when(F.col("cut"), F.length("new_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}

@@ -580,6 +580,12 @@ def test_passages_of_given_documents(docs, odd_docs, no_docs):
     assert suffix_dedup.without_passages(no_docs).count() == 0
 
 
+def test_texts_are_cut_once(docs):
+    # a second evaluation, in the filter, would take a second Python worker for each task
+    for out in (suffix_dedup.without_passages(docs), suffix_dedup.without_repeats(docs)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_words_of_pieces():
     raw = passage_texts()[0].encode() * 20
     assert (suffix_dedup.word_hashes(raw, 37) == suffix_dedup.word_hashes(raw)).all()
