@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraql.errors import DUPLICATE_COLUMN, INVALID_RANGE, WRONG_OBJECT_TYPE, EngineError
+from terraql.sources.tables import kept
 
 
 def number_range(spark, *bounds: int) -> DataFrame:
@@ -72,11 +75,20 @@ def first_or_default(outer: DataFrame, inner: DataFrame, keys: Sequence[str], or
     return outer.join(least, list(keys), "left").withColumn(value, F.coalesce(F.col("_first.v"), F.lit(default))).drop("_first")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join whose left side has hot keys: its rows are salted, the right side is repeated for each salt."""
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(spread, [*keys, "_salt"], how).drop("_salt")
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner", hot: int = 100_000) -> DataFrame:
+    """An equi-join whose left side has hot keys, those of ``hot`` rows or more: these rows are salted, and the right side is repeated for each salt at these keys only."""
+    # written first, so that both sides see the same keys; at most one for ``hot`` left rows
+    found = kept(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot).select(*keys, F.lit(True).alias("_hot")))
+    # never a broadcast: Spark's estimate is of the packed file, and leaves out the repeated rows
+    if found.isEmpty():
+        return left.join(right.hint("merge"), list(keys), how)
+    # NULLs match nothing, and are salted so that an outer join doesn't keep them in one task
+    spread = F.coalesce(F.col("_hot"), reduce(or_, [F.col(k).isNull() for k in keys]))
+    salt = F.when(spread, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
+    salted = left.join(F.broadcast(found), list(keys), "left").withColumn("_salt", salt).drop("_hot")
+    last = F.when(F.col("_hot"), salts - 1).otherwise(0)
+    repeated = right.join(F.broadcast(found), list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def synthetic_join(sides: Sequence[tuple[str, DataFrame]], on: Sequence[tuple[str, str]]) -> DataFrame:

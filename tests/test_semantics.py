@@ -156,6 +156,24 @@ def test_pairs_across_a_pole(spark):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salted_join_repeats_only_hot_keys(spark, data):
+    # no order is hot: nothing is repeated, and no side goes through the driver
+    cold = plan(QUERIES["join_salted"](spark, data))
+    assert "Broadcast" not in cold and "Generate" not in cold and "SortMergeJoin" in cold
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 1), (None, 2), (None, 3)], "k int, a int")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (4, "w"), (None, "n")], "k int, b string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        for hot in (1, 10, 50, 51):
+            got = relational.salted_join(left, right, ["k"], 4, how, hot)
+            assert got.columns == left.join(right, ["k"], how).columns
+            assert values(got) == values(left.join(right, ["k"], how))
+            assert "SortMergeJoin" in plan(got) and ("Generate" in plan(got)) == (hot < 51)
+
+
 def test_catalog(spark):
     one = catalog.Template("s").table("t", "a int, b string", ("a",)).enum("mood", "low", "high").struct("p", "x int").view("v", "SELECT a FROM t").index("i", "t", "b")
     assert catalog.Template.from_json(one.to_json()) == one
