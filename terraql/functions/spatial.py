@@ -20,6 +20,12 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(x, F.lit(1.0))))
 
 
+def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """The point on a sphere of radius 1."""
+    a, o = F.radians(lat), F.radians(lon)
+    return F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a)
+
+
 def box(lat: Column, lon: Column, at: tuple[float, float], km: float) -> Column:
     """A filter of plain comparisons, fit to be pushed to a scan, that holds all points within the distance."""
     dlat = math.degrees(km / EARTH_KM) * 1.000001

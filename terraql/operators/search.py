@@ -75,27 +75,87 @@ def bit_set(column: Column, mask: int) -> Column:
     return column.bitwiseAND(F.lit(mask)) == F.lit(mask)
 
 
-def spatial_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", cell: float = 1.0) -> DataFrame:
+def _grid(reach: float, cell: float) -> tuple[Callable, Callable, Callable]:
+    """A point's own grid cell, as _r and _c; the middle of a cell; the cells that a distance in degrees may reach. Columns are about as wide as rows are high."""
+
+    def wide(row: Column) -> Column:
+        return F.greatest(F.floor(360 / cell * F.cos(F.radians((row + 0.5) * cell - 90))), F.lit(1))
+
+    def turn(lon: Column) -> Column:
+        return F.pmod(lon + 180, F.lit(360.0)) / 360  # 180 is -180
+
+    def own(df: DataFrame, lat: str, lon: str) -> DataFrame:
+        w = wide(F.col("_r"))
+        return df.withColumn("_r", F.floor((F.col(lat) + 90) / cell)).withColumn("_c", F.pmod(F.floor(turn(F.col(lon)) * w), w))
+
+    def middle(row: Column, column: Column) -> tuple[Column, Column]:
+        return (row + 0.5) * cell - 90, (column + 0.5) * 360 / wide(row) - 180
+
+    def entered(df: DataFrame, lat: str, lon: str, more: float = 0.0) -> DataFrame:
+        far = reach + more
+        rows = F.sequence(F.floor((F.col(lat) - far + 90) / cell), F.floor((F.col(lat) + far + 90) / cell))
+        # a distance spans more columns toward the poles, and all where the nearest way may lead across one
+        half = F.asin(F.lit(math.sin(math.radians(far))) / F.cos(F.radians(lat))) / (2 * math.pi)
+        half = F.when(F.abs(lat) + far < 89.9, half).otherwise(0.5)
+        df = df.withColumn("_r", F.explode(rows)).withColumn("_w", wide(F.col("_r")))
+        low, high = F.floor((turn(F.col(lon)) - half) * F.col("_w")), F.floor((turn(F.col(lon)) + half) * F.col("_w"))
+        columns = F.transform(F.sequence(low, F.least(high, low + F.col("_w") - 1)), lambda c: F.pmod(c, F.col("_w")))
+        return df.withColumn("_c", F.explode(columns)).drop("_w")
+
+    return own, middle, entered
+
+
+def spatial_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", cell: float = 1.0, side: int = 4096) -> DataFrame:
     """Pairs within a distance: right rows enter the grid cells around theirs, left rows their own; then the exact test.
 
+    Cells are as high as the distance at least. The points of cells are counted first: tasks are as many as the pairs
+    to test take, and a cell of too many is dealt out in tiles of about ``side`` rows of each side.
     Columns of the two sides have to differ but for lat and lon, which come back as left_ and right_.
     """
-    from terraql.functions.spatial import EARTH_KM, haversine
+    from terraql.functions.spatial import EARTH_KM, haversine, unit_vector
 
-    reach = km / EARTH_KM * 180 / 3.141592653589793
-    rows = int(reach // cell) + 1
-    a = left.withColumnsRenamed({lat: "left_lat", lon: "left_lon"})
+    reach = math.degrees(max(km, 0) / EARTH_KM) * 1.000001 + 1e-6  # more than rounding can take away
+    cell = max(cell, reach)
+    own, middle, entered = _grid(reach, cell)
+    a = own(left.withColumnsRenamed({lat: "left_lat", lon: "left_lon"}), "left_lat", "left_lon")
     b = right.withColumnsRenamed({lat: "right_lat", lon: "right_lon"})
-    a = a.withColumn("_r", F.floor((F.col("left_lat") + 90) / cell))
-    wide = math.ceil(360 / cell)
-    a = a.withColumn("_c", F.pmod(F.floor((F.col("left_lon") + 180) / cell), F.lit(wide)))  # 180 is -180
-    # columns narrow toward the poles: as many as the distance spans at the far edge of the rows reached
-    # and all of them where the far edge is at a pole or beyond, as the nearest way may lead across it
-    edge = F.abs("right_lat") + reach + cell
-    columns = F.least(F.ceil(F.lit(reach) / F.cos(F.radians(F.least(edge, F.lit(89.9)))) / cell) + 1, F.lit(wide // 2 + 1))
-    columns = F.when(edge > 89.9, F.lit(wide // 2 + 1)).otherwise(columns)
-    b = b.withColumn("_r0", F.floor((F.col("right_lat") + 90) / cell)).withColumn("_c0", F.floor((F.col("right_lon") + 180) / cell)).withColumn("_w", columns)
-    b = b.withColumn("_r", F.explode(F.sequence(F.col("_r0") - rows, F.col("_r0") + rows)))
-    b = b.withColumn("_c", F.explode(F.array_distinct(F.transform(F.sequence(F.col("_c0") - F.col("_w"), F.col("_c0") + F.col("_w")), lambda c: F.pmod(c, F.lit(wide)))))).drop("_r0", "_c0", "_w")
+
+    # right points are counted as if all of a cell entered what any of them may enter; a row that enters costs about as much as 32 tests
+    n = F.count(F.lit(1))
+    y, x = middle(F.col("_r"), F.col("_c"))
+    settled = own(b, "right_lat", "right_lon").groupBy("_r", "_c").agg(n.alias("_n")).select("_n", y.alias("_y"), x.alias("_x"))
+    counted = entered(settled, "_y", "_x", cell / 2).groupBy("_r", "_c").agg(F.sum("_n").alias("_right"))
+    both = counted.join(a.groupBy("_r", "_c").agg(n.alias("_left")), ["_r", "_c"], "left").withColumn("_left", F.coalesce("_left", F.lit(0)))
+    work = kept(both.withColumn("_work", F.col("_right") * (F.col("_left") + 32.0)))
+    most = 2 * side * side
+    rows, total, top = work.agg(F.sum("_right"), F.sum("_work"), F.max(F.when(F.col("_left") > 0, F.col("_work")))).first()
+
+    keys = ["_r", "_c"]
+    b = entered(b.repartition(math.ceil((rows or 0) / 2_000_000) or 1), "right_lat", "right_lon")
+    if top and top > most:
+        # at most one cell for so much work, so the table is small
+        hot = F.broadcast(work.where((F.col("_left") > 0) & (F.col("_work") > most)).select(*keys, F.ceil(F.col("_left") / side).alias("_i"), F.ceil(F.col("_right") / side).alias("_j")))
+
+        def dealt(df: DataFrame, tile: str, tiles: str, other: str, others: str, columns: Sequence[str]) -> DataFrame:
+            one = F.lit(1).cast("bigint")
+            df = df.join(hot, keys, "left").withColumn(tile, F.pmod(F.xxhash64(*columns), F.coalesce(tiles, one)))
+            return df.withColumn(other, F.explode(F.sequence(one - 1, F.coalesce(others, one) - 1))).drop("_i", "_j")
+
+        a, b = dealt(a, "_s", "_i", "_t", "_j", a.columns), dealt(b, "_t", "_j", "_s", "_i", b.columns)
+        keys = [*keys, "_s", "_t"]
+
+    parts = math.ceil((total or 0) / most) or 1
+    a, b = (df.repartition(parts, *keys) for df in (a, b))
+    u, v = (unit_vector(F.col(f"{s}_lat"), F.col(f"{s}_lon")) for s in ("left", "right"))
+    a, b = a.withColumns({f"_u{i}": x for i, x in enumerate(u)}), b.withColumns({f"_v{i}": x for i, x in enumerate(v)})
     near = haversine(F.col("left_lat"), F.col("left_lon"), F.col("right_lat"), F.col("right_lon"))
-    return a.join(b, ["_r", "_c"]).withColumn("km", near).where(F.col("km") <= km).drop("_r", "_c")
+    test = near <= km
+    if 0 <= km < math.pi * EARTH_KM:
+        # chords tell all pairs but those that are close to the distance itself
+        square = sum((F.col(f"_u{i}") - F.col(f"_v{i}")) * (F.col(f"_u{i}") - F.col(f"_v{i}")) for i in range(3))
+        wanted = 4 * math.sin(km / EARTH_KM / 2) ** 2
+        slack = wanted * 1e-6 + math.sqrt(wanted) * 1e-14 + 1e-28
+        test = (square <= wanted - slack) | ((square <= wanted + slack) & test)
+    # a broadcast would be of rows repeated for each cell, which Spark's estimate leaves out
+    both = a.join(b.hint("merge"), keys).where(test).withColumn("km", near)
+    return both.drop(*keys, *[f"_{x}{i}" for x in "uv" for i in range(3)])

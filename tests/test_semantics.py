@@ -174,6 +174,29 @@ def test_salted_join_repeats_only_hot_keys(spark, data):
             assert "SortMergeJoin" in plan(got) and ("Generate" in plan(got)) == (hot < 51)
 
 
+def test_spatial_join_tasks_follow_the_pairs(spark, tmp_path):
+    import random
+
+    from terraql.functions import spatial
+
+    # a spot where most points are, and others around the poles, the date line and everywhere
+    r = random.Random(5)
+    spots = [(48.0 + r.random(), 2.0 + r.random()) for _ in range(300)]
+    others = [(r.choice((r.uniform(-90, 90), 90 - r.random(), -88 - 2 * r.random())), r.choice((r.uniform(-180, 180), 179 + r.random(), -180.0, 180.0))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate([*spots, *others, (None, 1.0), (1.0, None)])], "id int, lat double, lon double").coalesce(1)
+    left, right = rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b")
+    each = left.dropna().withColumnsRenamed({"lat": "x", "lon": "y"}).crossJoin(right.dropna()).withColumn("d", spatial.haversine(F.col("x"), F.col("y"), F.col("lat"), F.col("lon"))).select("a", "b", "d").toPandas()
+    for km, side in ((0, 4096), (150, 16), (2500, 4096), (12000, 4096), (20100, 16)):
+        got = search.spatial_join(left, right, km, side=side)
+        assert got.columns == ["a", "left_lat", "left_lon", "b", "right_lat", "right_lon", "km"]
+        assert sorted(map(tuple, got.select("a", "b").collect())) == sorted(map(tuple, each[each.d <= km][["a", "b"]].values.tolist()))
+        # no side is broadcast; with small tiles there are more tasks, and none has much of the pairs
+        assert "SortMergeJoin" in plan(got)
+        if km == 150:
+            per_task = got.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+            assert len(per_task) > 20 and per_task.max() < per_task.sum() / 10
+
+
 def test_catalog(spark):
     one = catalog.Template("s").table("t", "a int, b string", ("a",)).enum("mood", "low", "high").struct("p", "x int").view("v", "SELECT a FROM t").index("i", "t", "b")
     assert catalog.Template.from_json(one.to_json()) == one
